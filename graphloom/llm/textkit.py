@@ -213,3 +213,62 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(*keys)
+
+
+def row_text(batch: pa.RecordBatch, text: str) -> pa.Array:
+    return pc.struct_field(batch.column(ROW), text)
+
+
+class Lines:
+    """The \\n-split lines of a piece's texts; every text has one line at least.
+
+    start, end: byte spans; doc: text of each line; first: index of the first line of each text.
+    """
+
+    def __init__(self, piece: Piece, raw: np.ndarray):
+        breaks = np.flatnonzero(raw == 10)
+        owner = np.searchsorted(piece.at, breaks, "right") - 1
+        self.n_lines = np.bincount(owner, minlength=len(piece)) + 1
+        self.first = np.concatenate([[0], np.cumsum(self.n_lines)])
+        n = int(self.first[-1])
+        self.start, self.end = np.empty(n, np.int64), np.empty(n, np.int64)
+        head = np.zeros(n, bool)
+        head[self.first[:-1]] = True
+        tail = np.zeros(n, bool)
+        tail[self.first[1:] - 1] = True
+        self.start[head], self.start[~head] = piece.at[:-1], breaks + 1
+        self.end[tail], self.end[~tail] = piece.at[1:], breaks
+        self.doc = np.repeat(np.arange(len(piece)), self.n_lines)
+        lo, hi = np.searchsorted(piece.start, self.start), np.searchsorted(piece.start, self.end)
+        self.full = hi > lo
+        #: Span between the outermost words: the line without `[\x20\x09-\x0D]` at both ends.
+        self.core_start, self.core_end = self.start.copy(), self.start.copy()
+        self.core_start[self.full], self.core_end[self.full] = piece.start[lo[self.full]], piece.end[hi[self.full] - 1]
+
+
+def code_points(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    return total[ends] - total[starts]
+
+
+def byte_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    return span_hash(_byte_table(23 + which)[buf], starts, ends, BASES[which])
+
+
+def per_text(mask_or_weights: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(doc, weights=mask_or_weights, minlength=n).astype(np.int64)
+
+
+def seen_before(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For rows in reading order: whether an earlier row of the same text has the same keys."""
+    order = np.lexsort((*keys[::-1], doc))  # stable, so reading order stays within equal keys
+    same = np.zeros(len(doc), bool)
+    if len(doc) > 1:
+        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in (doc, *keys)])
+    out = np.empty_like(same)
+    out[order] = same
+    return out
+
+
+def long_lists(counts: np.ndarray, values: np.ndarray, kind=None) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
