@@ -9,6 +9,7 @@ deficit that the partitions before it leave (of its lane, at most LANES of them,
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,40 +33,58 @@ class WordTokenizer:
     """Ids of whole texts, by words.
 
     For a tokenizer that splits at white space and looks at no word's neighbours (checked at the start), the ids of a text are
-    those of its words one after another; so each word is encoded once and kept. Words of ASCII letters, alone or before
-    one stop or comma, share the ids of their lower-case form.
+    those of its words one after another; so each word is encoded once and kept. Words of Latin letters, alone or before one
+    stop or comma, share the ids of their lower-case form, and those need the tokenizer's model only: lower-casing and
+    normalising change nothing in them, and the split leaves them whole (also checked).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: How the model writes the UTF-8 bytes of Latin letters.
+        self.shown = {b: byte_level.pre_tokenize_str(c.lower())[0][0][i] for c in map(chr, range(0xC0, 0x100)) if c.isalpha() for i, b in enumerate(c.lower().encode())}
         probe = "One two, THREE  don't\n\té x1 ### a.b"
         self.by_words = self._ids([probe])[0] == b"".join(self._ids(probe.split())) and self._ids(["Ab,"])[0] == self._ids(["ab"])[0] + self._ids([","])[0]
+        plain = ["ab", "thousands", "été", "größen", "añadió", "x"]
+        self.by_model = self.by_words and [self._stem(w.encode()) for w in plain] == self._ids([w.upper() if "ß" not in w else w for w in plain])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stem(self, stem: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(stem.decode("latin-1").translate(self.shown))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.words) + len(new) > CACHE_WORDS:
             self.words.clear()
         if len(self.stems) > CACHE_WORDS // 2:
             self.stems.clear()
-        parts, unknown, rest = {}, set(), []
+        stems, rest = self.stems, []
         for w in new:
             stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
-            if stem.isalpha():
-                stem = stem.lower()
-                parts[w] = (stem, mark)
-                unknown.update(x for x in ((stem, mark) if mark else (stem,)) if x not in self.stems)
+            if not stem.isalpha():
+                letters = stem.decode()
+                if not letters.isalpha() or max(letters) > "\xff":
+                    rest.append(w)
+                    continue
+                stem = letters.lower().encode()
             else:
-                rest.append(w)
-        todo = list(unknown)
-        self.stems.update(zip(todo, self._ids([w.decode() for w in todo])))
-        stems = self.stems
-        self.words.update((w, stems[s] + stems[m] if m else stems[s]) for w, (s, m) in parts.items())
+                stem = stem.lower()
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = self._stem(stem) if self.by_model else self._ids([stem.decode()])[0]
+            if mark:
+                if mark not in stems:
+                    stems[mark] = self._ids([mark.decode()])[0]
+                ids += stems[mark]
+            self.words[w] = ids
         self.words.update(zip(rest, self._ids([w.decode() for w in rest])))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,14 +63,14 @@ def _cat(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _anchors(window: int, period: int):
+def _anchors(text: str, window: int, period: int):
     cover, k = np.array(COVERS[period]), window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rids, places = [], [], []
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(pc.struct_field(batch.column("row"), text)):
                 long = np.flatnonzero(piece.n_words >= window)
                 n = piece.n_words[long] - k + 1
                 rounds = -(-n // period)
@@ -88,11 +89,11 @@ def _anchors(window: int, period: int):
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and their number per row of a list column without null lists inside the values."""
-    counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     return column.flatten().to_numpy(), counts
 
 
-def _candidates(window: int, period: int):
+def _candidates(text: str, window: int, period: int):
     k = window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +102,7 @@ def _candidates(window: int, period: int):
             rid, copies = batch.column("rid").to_numpy(), batch.column("copies").to_numpy()
             anchors, counts = _lists(batch.column("anchors"))
             stop = np.cumsum(counts)
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(pc.struct_field(batch.column("row"), text)):
                 lo, hi = piece.rows.start, piece.rows.stop
                 doc = np.repeat(np.arange(len(piece)), counts[lo:hi])
                 anchor = piece.first[doc] + anchors[stop[lo] - counts[lo] : stop[hi - 1]]
@@ -121,13 +122,13 @@ def _candidates(window: int, period: int):
     return run
 
 
-def _removals(window: int):
+def _removals(text: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copies = batch.column("copies").to_numpy()
             starts, counts = _lists(batch.column("starts"))
             stop = np.cumsum(counts)
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(pc.struct_field(batch.column("row"), text)):
                 lo, hi = piece.rows.start, piece.rows.stop
                 doc = np.repeat(np.arange(len(piece)), counts[lo:hi])
                 edge = np.zeros(len(piece.start) + 1, np.int64)
@@ -155,20 +156,18 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
     if period not in COVERS or window <= period:
         raise ValueError(f"period must be one of {sorted(COVERS)} and below the window")
     base = numbered(docs).select(F.col(RID).alias("rid"), F.col(ROW).alias("row"))
-    body = F.col("row").getField(text)
-    texts = base.select("rid", body.alias("text"))
-    keyed = base.select("rid", "row", F.md5(F.coalesce(body, F.lit("")).cast("binary")).alias("copy"))
+    keyed = base.select("rid", F.md5(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")).alias("copy"))
     groups = keyed.groupBy("copy").agg(F.count("*").alias("copies"), F.min("rid").alias("head"))
     # Copies of one text can be a third of all rows: AQE splits that key here, where rows have no text.
-    about = keyed.join(groups, "copy").select("rid", "row", "copies", "head")
-    sides = texts.join(about.select("rid", "copies", "head").hint("shuffle_hash"), "rid")
-    heads = sides.filter("rid = head")
-    anchors = heads.select("rid", "text").mapInArrow(_anchors(window, period), "h1 long, rid long, pos int, known boolean")
+    about = keyed.join(groups, "copy").select("rid", "copies", "head")
+    # Every use of the texts takes the same columns of base by the same key, so their exchange is written once and used again.
+    heads = base.join(about.hint("shuffle_hash"), "rid").filter("rid = head")
+    anchors = heads.select("rid", "row").mapInArrow(_anchors(text, window, period), "h1 long, rid long, pos int, known boolean")
     shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h1"))).filter("known or n > 1")
     shared = shared.groupBy("rid").agg(F.collect_list("pos").alias("anchors"))
-    found = heads.select("rid", "text", "copies").join(shared.hint("shuffle_hash"), "rid")
-    windows = found.mapInArrow(_candidates(window, period), "h1 long, h2 long, rid long, pos int, known boolean")
+    found = base.join(about.filter("rid = head").join(shared, "rid").hint("shuffle_hash"), "rid").select("rid", "row", "copies", "anchors")
+    windows = found.mapInArrow(_candidates(text, window, period), "h1 long, h2 long, rid long, pos int, known boolean")
     repeated = windows.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2"))).filter("known or n > 1")
     repeated = repeated.groupBy("rid").agg(F.collect_list("pos").alias("starts"))
-    last = texts.join(about.select("rid", "row", "copies").join(repeated, "rid", "left").hint("shuffle_hash"), "rid").select("row", "text", "copies", "starts")
-    return last.mapInArrow(_removals(window), f"{ROW} {docs.schema.simpleString()}, n_words long, n_removed long, kept_text string")
+    last = base.join(about.select("rid", "copies").join(repeated, "rid", "left").hint("shuffle_hash"), "rid").select("row", "copies", "starts")
+    return last.mapInArrow(_removals(text, window), f"{ROW} {docs.schema.simpleString()}, n_words long, n_removed long, kept_text string")
