@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import find_contamination
+from graphloom.llm.jaccard_join import near_duplicates
 from graphloom.llm.line_dedup import drop_shared_lines
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import score_quality
@@ -72,6 +73,31 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Only ids leave, so the operator gets no more than it needs.
+    out = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(_id(), "n_shingles", "component_id")
+
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(t) AS t FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS t
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reach AS (SELECT a AS doc_id, b AS r FROM links UNION SELECT reach.doc_id, b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.r, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(_id(), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -117,6 +143,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
@@ -125,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op5_jaccard_join": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
 }
