@@ -3,8 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from graphloom.llm.decontaminate import find_contamination
+from graphloom.llm.jaccard_join import near_duplicates
+from graphloom.llm.line_dedup import drop_shared_lines
+from graphloom.llm.packing import pack
+from graphloom.llm.quality_rules import score_quality
+from graphloom.llm.textkit import ROW, stored
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _documents(out: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(ROW).getField(c).alias(c) for c in docs.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighed rules keep."""
+    return _documents(score_quality(docs).filter("kept"), docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that five or more of them share (the largest doc_id keeps its own)."""
+    return _documents(drop_shared_lines(docs), docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, the one with the smallest doc_id."""
+    return _documents(near_duplicates(docs).filter("keeper"), docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return _documents(find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("n_hit = 0"), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in their sequences."""
+    import public_tokenizers
+
+    out = pack(docs, public_tokenizers.path(TOKENIZER))
+    return out.select(F.col(ROW)["doc_id"].alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("packing", packing)]
 
 #: The votes of the first stage are fitted by expectation-maximisation and the last stage tokenizes: no SQL has these rows.
 ORACLE_SQL = None
@@ -12,6 +55,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, "documents")
     return docs

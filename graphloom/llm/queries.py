@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.decontaminate import find_contamination
 from graphloom.llm.jaccard_join import near_duplicates
+from graphloom.llm import language_id, quality_classifier
 from graphloom.llm.line_dedup import drop_shared_lines
 from graphloom.llm.packing import pack
 from graphloom.llm.quality_rules import score_quality
+from graphloom.llm.sharding import assign_shards
 from graphloom.llm.substring_dedup import remove_repeated_passages
 from graphloom.llm.textkit import ROW
+from graphloom.llm.url_trust import LINK, judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +131,92 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+SHARD_BYTES = 64 << 20
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+nodes AS (
+  SELECT k, (h >> (60 - k)) AS q, sum(n_bytes) AS b, count(*) AS n, count(DISTINCT h) AS keys
+  FROM d, range(0, 61) AS r(k) GROUP BY k, h >> (60 - k)),
+fits AS (SELECT * FROM nodes WHERE b <= {SHARD_BYTES} OR keys = 1),
+best AS (
+  SELECT doc_id, n_bytes, k AS depth, q AS prefix, b AS shard_bytes, n AS shard_docs
+  FROM d, fits WHERE fits.q = (d.h >> (60 - fits.k))
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) = 1)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, 's' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
+       depth::INT AS depth, prefix::BIGINT AS prefix, shard_bytes::BIGINT AS shard_bytes, shard_docs::BIGINT AS shard_docs, shard_bytes > {SHARD_BYTES} AS oversize
+FROM best
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.train(docs.filter(~held_out))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select(_id(), (F.crc32(F.col(ROW)["doc_id"].cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op7_sql(rounds: int = 8, damping: float = 0.85) -> str:
+    longest = sorted(URL_RULES, key=lambda r: (-len(r), r))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in longest) + " END"
+    ruled = "CASE " + " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in URL_RULES.items()) + " END"
+    low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    link = LINK.replace("(?i)", "").replace("'", "''")
+    steps = "".join(
+        f""",
+s{k + 1} AS (
+  SELECT kind, host, round(sum(s), 9) AS s FROM (
+    SELECT * FROM s0 UNION ALL
+    SELECT e.kind, e.tgt, s * w * {damping} FROM s{k} JOIN e ON e.kind = s{k}.kind AND e.host = s{k}.host) GROUP BY kind, host)"""
+        for k in range(rounds)
+    )
+    return f"""
+WITH split AS (
+  SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), {low}) AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+r AS (SELECT *, {ruled} AS ruled FROM (SELECT *, {rule} AS rule FROM split)),
+links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '{link}', 1, 'i')), {low}) AS dst FROM r WHERE host <> ''),
+l AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> dst GROUP BY src, dst),
+b AS (SELECT 't' AS kind, src AS host, dst AS tgt, n FROM l UNION ALL SELECT 'd', dst, src, n FROM l),
+e AS (SELECT kind, host, tgt, n / sum(n) OVER (PARTITION BY kind, host) AS w FROM b),
+h AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') / count(*) AS t, count(*) FILTER (WHERE ruled = 'block') / count(*) AS d FROM r WHERE host <> '' GROUP BY host),
+s0 AS (
+  SELECT 't' AS kind, host, t * (1 - {damping}) AS s FROM h WHERE t > 0 UNION ALL
+  SELECT 'd', host, d * (1 - {damping}) FROM h WHERE d > 0){steps},
+f AS (SELECT host, round(coalesce(sum(s) FILTER (WHERE kind = 't'), 0), 6) AS trust, round(coalesce(sum(s) FILTER (WHERE kind = 'd'), 0), 6) AS distrust FROM s{rounds} GROUP BY host)
+SELECT page_id, r.host, path, rule,
+       coalesce(ruled, CASE WHEN distrust > trust AND distrust >= {round((1 - damping) / 2, 6)} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(trust, 0.0::DOUBLE) AS trust, coalesce(distrust, 0.0::DOUBLE) AS distrust
+FROM r LEFT JOIN f ON f.host = r.host
+"""
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold != 0)
+    out = quality_classifier.score(docs, quality_classifier.train(docs, labels))
+    held_out = F.crc32(F.col(ROW)["doc_id"].cast("string").cast("binary")) % 5 == 0
+    return out.select(_id(), held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -142,16 +231,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
     "op4_line_dedup": op4_line_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_url_filters": op7_url_filters,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
+    "op2_sharding": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
+    "op7_url_filters": _op7_sql(),
 }
