@@ -68,7 +68,8 @@ class Model:
     """langs; for each order sorted hashes of n-grams with log probabilities, and of contexts with log weights, per language."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
+        with_letters = {x for t, x in zip(texts, langs) if any(c.isalpha() for c in t)}
+        self.langs = sorted(with_letters)
         counts = []  # per language: (n-grams of the highest order, their counts)
         for lang in self.langs:
             data = [t.encode() for t, x in zip(texts, langs) if x == lang]
@@ -76,6 +77,9 @@ class Model:
             code, start, end, _ = _words(b"".join(data), at)
             counts.append(np.unique(_grams(code, start, end)[0][-1], return_counts=True))
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
+        self.scale, self.limit = 1.0, np.full(len(self.langs), np.inf)
+        if not self.langs:
+            return
         tables = [self._orders(*c) for c in counts]
         alphabet = max(2, len({int(g) for t in tables for g in t[0][0]}))
         self.floor = np.log(np.array([t[0][2] / alphabet for t in tables]))
@@ -104,7 +108,6 @@ class Model:
             self._store(self.grams, self.logs, keys, np.log(np.maximum(probability, 1e-12)))
             if n:
                 self._store(self.contexts, self.weights, contexts, np.log(np.maximum(weights, 1e-12)))
-        self.scale, self.limit = 1.0, np.full(len(self.langs), np.inf)
 
     @staticmethod
     def _store(keys: list, values: list, key: np.ndarray, value: np.ndarray) -> None:
@@ -167,9 +170,10 @@ class Model:
 
     def predict(self, data: bytes, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (or und), score in [0, 1] and whether it is rejected, for each text."""
-        entropy, size = self.entropies(data, at)
+        n = len(at) - 1
         if not self.langs:
-            return ["und"] * len(size), np.zeros(len(size)), np.ones(len(size), bool)
+            return ["und"] * n, np.zeros(n), np.ones(n, bool)
+        entropy, size = self.entropies(data, at)
         best = entropy.argmin(1)
         low = entropy[np.arange(len(best)), best]
         # Longer texts are surer; the scale comes from texts that the counts have not seen.
