@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import BASES, RID, ROW, Piece, kept_texts, mix, numbered, pieces, ragged, span_hash, strings
+from graphloom.llm.textkit import BASES, RID, ROW, Piece, kept_texts, mix, numbered, pieces, ragged, span_hash, stored, strings
 
 #: Perfect difference sets (every difference modulo the period occurs once).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -159,13 +159,13 @@ def remove_repeated_passages(docs: DataFrame, text: str = "text", window: int =
     keyed = base.select("rid", F.md5(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")).alias("copy"))
     groups = keyed.groupBy("copy").agg(F.count("*").alias("copies"), F.min("rid").alias("head"))
     # Copies of one text can be a third of all rows: AQE splits that key here, where rows have no text.
-    about = keyed.join(groups, "copy").select("rid", "copies", "head")
+    about = stored(keyed.join(groups, "copy").select("rid", "copies", (F.col("rid") == F.col("head")).alias("first")), "about")
     # Every use of the texts takes the same columns of base by the same key, so their exchange is written once and used again.
-    heads = base.join(about.hint("shuffle_hash"), "rid").filter("rid = head")
+    heads = base.join(about.filter("first").select("rid").hint("shuffle_hash"), "rid")
     anchors = heads.select("rid", "row").mapInArrow(_anchors(text, window, period), "h1 long, rid long, pos int, known boolean")
     shared = anchors.withColumn("n", F.count("*").over(Window.partitionBy("h1"))).filter("known or n > 1")
     shared = shared.groupBy("rid").agg(F.collect_list("pos").alias("anchors"))
-    found = base.join(about.filter("rid = head").join(shared, "rid").hint("shuffle_hash"), "rid").select("rid", "row", "copies", "anchors")
+    found = base.join(about.filter("first").join(shared, "rid").hint("shuffle_hash"), "rid").select("rid", "row", "copies", "anchors")
     windows = found.mapInArrow(_candidates(text, window, period), "h1 long, h2 long, rid long, pos int, known boolean")
     repeated = windows.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2"))).filter("known or n > 1")
     repeated = repeated.groupBy("rid").agg(F.collect_list("pos").alias("starts"))

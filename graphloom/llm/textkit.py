@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     the operators' own. Positions are only the same again if the input can be replayed: a file scan or stored table is used
     as it is, anything else (joins, aggregates) is stored first.
     """
+    # Python workers import this package from where the driver has it (a cluster that has it installed finds the same).
+    root, env = str(Path(__file__).resolve().parents[2]), docs.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if not _replayable(docs._jdf.queryExecution().analyzed()):
         docs = stored(docs, "input")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)).withColumn(RID, F.monotonically_increasing_id())
