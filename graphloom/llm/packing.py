@@ -9,8 +9,9 @@ deficit that the partitions before it leave (of its lane, at most LANES of them,
 
 from __future__ import annotations
 
-import struct
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -27,15 +28,17 @@ LANES = 256
 LOOKAHEAD = 1 << 18
 QUANTUM = 2048
 CACHE_WORDS = 1_500_000
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class WordTokenizer:
     """Ids of whole texts, by words.
 
     For a tokenizer that splits at white space and looks at no word's neighbours (checked at the start), the ids of a text are
-    those of its words one after another; so each word is encoded once and kept. Words of Latin letters, alone or before one
-    stop or comma, share the ids of their lower-case form, and those need the tokenizer's model only: lower-casing and
+    those of its words one after another; so each word is encoded once and kept. Words of Latin letters, alone or before
+    marks, share the ids of their lower-case form, and those need the tokenizer's model only: lower-casing and
     normalising change nothing in them, and the split leaves them whole (also checked).
+    What follows the letters is one piece of the split whatever marks it has, but for the apostrophe.
     """
 
     def __init__(self, path: str):
@@ -50,7 +53,7 @@ class WordTokenizer:
         #: How the model writes the UTF-8 bytes of Latin letters.
         self.shown = {b: byte_level.pre_tokenize_str(c.lower())[0][0][i] for c in map(chr, range(0xC0, 0x100)) if c.isalpha() for i, b in enumerate(c.lower().encode())}
         probe = "One two, THREE  don't\n\té x1 ### a.b"
-        self.by_words = self._ids([probe])[0] == b"".join(self._ids(probe.split())) and self._ids(["Ab,"])[0] == self._ids(["ab"])[0] + self._ids([","])[0]
+        self.by_words = self._ids([probe])[0] == b"".join(self._ids(probe.split())) and all(self._ids(["Ab" + m])[0] == self._ids(["ab"])[0] + self._ids([m])[0] for m in (",", ".###", "!!", "_-", "***|"))
         plain = ["ab", "thousands", "été", "größen", "añadió", "x"]
         self.by_model = self.by_words and [self._stem(w.encode()) for w in plain] == self._ids([w.upper() if "ß" not in w else w for w in plain])
 
@@ -58,8 +61,11 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _stem(self, stem: bytes) -> bytes:
-        ids = [t.id for t in self.model.tokenize(stem.decode("latin-1").translate(self.shown))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        shown = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.shown)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
         if len(self.words) + len(new) > CACHE_WORDS:
@@ -68,7 +74,8 @@ class WordTokenizer:
             self.stems.clear()
         stems, rest = self.stems, []
         for w in new:
-            stem, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") else (w, b"")
+            stem = w.rstrip(MARKS)
+            mark = w[len(stem) :]
             if not stem.isalpha():
                 letters = stem.decode()
                 if not letters.isalpha() or max(letters) > "\xff":
