@@ -9,11 +9,11 @@ deficit that the partitions before it leave (of its lane, at most LANES of them,
 
 from __future__ import annotations
 
-import sys
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -21,24 +21,93 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import ROW, flat, numbered, row_text
+from graphloom.llm.textkit import BASES, LOWER, ROW, Piece, numbered, pieces, ragged, row_text
 
 LANES = 256
 #: Tokens that wait in a task's queues before windows are filled; more of them keep windows closer to the target.
 LOOKAHEAD = 1 << 18
 QUANTUM = 2048
-CACHE_WORDS = 1_500_000
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+CACHE_WORDS = 1_500_000  # units, looked at between pieces
+#: By byte: marks that may follow a word's letters, ASCII letters, second bytes of the Latin letters that begin with C3.
+MARK, LETTER, LATIN = (np.isin(np.arange(256), list(chars)) for chars in (b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~", ascii_letters.encode(), {*range(0x80, 0xC0)} - {0x97, 0xB7}))
+#: Masks of the first n bytes of eight.
+FULL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class Units:
+    """Ids of short byte strings, found by arrays: an open-addressing table of numbers into dense arrays of keys and ids.
+
+    A string of up to 16 bytes is its own key (its first and its last 8 bytes, and its length), so equal keys are equal strings.
+    """
+
+    def __init__(self, slots: int = 1 << 18):
+        self.owner = np.full(slots, -1, np.int32)
+        self.n = self.n_ids = 0
+        self.key1, self.key2, self.length = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+        self.at, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    @staticmethod
+    def mixed(key1: np.ndarray, key2: np.ndarray, length: np.ndarray) -> np.ndarray:
+        h = (key1 * np.uint64(BASES[0])) ^ ((key2 + length) * np.uint64(BASES[1]))
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(BASES[2])
+        return h ^ (h >> np.uint64(32))
+
+    def find(self, h: np.ndarray, key1: np.ndarray, key2: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is unknown."""
+        last = len(self.owner) - 1
+        found, slot, todo = np.full(len(h), -1, np.int64), (h & np.uint64(last)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            at = self.owner[slot]
+            right = (self.key1[at] == key1[todo]) & (self.key2[at] == key2[todo]) & (self.length[at] == length[todo]) & (at >= 0)
+            found[todo[right]] = at[right]
+            onward = ~right & (at >= 0)
+            todo, slot = todo[onward], (slot[onward] + 1) & last
+        return found
+
+    def _place(self, numbers: np.ndarray, h: np.ndarray) -> None:
+        last = len(self.owner) - 1
+        slot = (h & np.uint64(last)).astype(np.int64)
+        while len(numbers):
+            free = self.owner[slot] < 0
+            self.owner[slot[free]] = numbers[free]
+            lost = self.owner[slot] != numbers
+            numbers, slot = numbers[lost], (slot[lost] + 1) & last
+
+    def add(self, h: np.ndarray, key1: np.ndarray, key2: np.ndarray, length: np.ndarray, count: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes in new strings with their ids, one after another; returns their numbers. Strings without a key (h is None) stay out of the table."""
+        k, total = len(count), self.n + len(count)
+        for name, size in (("key1", total), ("key2", total), ("length", total), ("at", total), ("count", total), ("ids", self.n_ids + len(ids))):
+            have = getattr(self, name)
+            if len(have) < size:
+                setattr(self, name, np.concatenate([have, np.zeros(max(size, 2 * len(have)) - len(have), have.dtype)]))
+        new = slice(self.n, total)
+        self.count[new], self.at[new] = count, self.n_ids + np.cumsum(count) - count
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        numbers = np.arange(self.n, total)
+        self.n, self.n_ids = total, self.n_ids + len(ids)
+        if h is None:
+            return numbers
+        self.key1[new], self.key2[new], self.length[new] = key1, key2, length
+        if 2 * self.n > len(self.owner):
+            size = len(self.owner)
+            while size < 4 * self.n:
+                size *= 2
+            held = np.sort(self.owner[self.owner >= 0]).astype(np.int64)
+            self.owner = np.full(size, -1, np.int32)
+            self._place(held, self.mixed(self.key1[held], self.key2[held], self.length[held].astype(np.uint64)))
+        self._place(numbers, h)
+        return numbers
 
 
 class WordTokenizer:
     """Ids of whole texts, by words.
 
     For a tokenizer that splits at white space and looks at no word's neighbours (checked at the start), the ids of a text are
-    those of its words one after another; so each word is encoded once and kept. Words of Latin letters, alone or before
-    marks, share the ids of their lower-case form, and those need the tokenizer's model only: lower-casing and
-    normalising change nothing in them, and the split leaves them whole (also checked).
-    What follows the letters is one piece of the split whatever marks it has, but for the apostrophe.
+    those of its words one after another. A word of Latin letters before some marks is two units, the lower-case letters and
+    the marks; any other word is one unit. Each unit is encoded once and kept, and the units of a piece are looked up by arrays.
+    Letters need the tokenizer's model only: lower-casing and normalising change nothing in them, and the split leaves them
+    whole (also checked). What follows the letters is one piece of the split whatever marks it has, but for the apostrophe.
     """
 
     def __init__(self, path: str):
@@ -47,70 +116,100 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.units = Units()
+        self.long: dict[bytes, int] = {}
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         #: How the model writes the UTF-8 bytes of Latin letters.
         self.shown = {b: byte_level.pre_tokenize_str(c.lower())[0][0][i] for c in map(chr, range(0xC0, 0x100)) if c.isalpha() for i, b in enumerate(c.lower().encode())}
         probe = "One two, THREE  don't\n\té x1 ### a.b"
-        self.by_words = self._ids([probe])[0] == b"".join(self._ids(probe.split())) and all(self._ids(["Ab" + m])[0] == self._ids(["ab"])[0] + self._ids([m])[0] for m in (",", ".###", "!!", "_-", "***|"))
+        self.by_words = self._ids([probe])[0] == sum(self._ids(probe.split()), []) and all(self._ids(["Ab" + m])[0] == self._ids(["ab"])[0] + self._ids([m])[0] for m in (",", ".###", "!!", "_-", "***|"))
         plain = ["ab", "thousands", "été", "größen", "añadió", "x"]
         self.by_model = self.by_words and [self._stem(w.encode()) for w in plain] == self._ids([w.upper() if "ß" not in w else w for w in plain])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem(self, stem: bytes) -> bytes:
+    def _stem(self, stem: bytes) -> list[int]:
         shown = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.shown)
-        ids = array("I", [t.id for t in self.model.tokenize(shown)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.stems) > CACHE_WORDS // 2:
-            self.stems.clear()
-        stems, rest = self.stems, []
-        for w in new:
-            stem = w.rstrip(MARKS)
-            mark = w[len(stem) :]
-            if not stem.isalpha():
-                letters = stem.decode()
-                if not letters.isalpha() or max(letters) > "\xff":
-                    rest.append(w)
-                    continue
-                stem = letters.lower().encode()
-            else:
-                stem = stem.lower()
-            ids = stems.get(stem)
-            if ids is None:
-                ids = stems[stem] = self._stem(stem) if self.by_model else self._ids([stem.decode()])[0]
-            if mark:
-                if mark not in stems:
-                    stems[mark] = self._ids([mark.decode()])[0]
-                ids += stems[mark]
-            self.words[w] = ids
-        self.words.update(zip(rest, self._ids([w.decode() for w in rest])))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _learn(self, units: list[bytes], stem: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each unit, and all ids."""
+        whole = iter(self._ids([u.decode() for u, s in zip(units, stem) if not (s and self.by_model)]))
+        found = [self._stem(u) if s and self.by_model else next(whole) for u, s in zip(units, stem)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)
+
+    def _spans(self, piece: Piece) -> tuple[np.ndarray, ...]:
+        """Bytes with lower-case letters in words that are letters before marks; start, end, whether it is letters for each unit; first unit of each text."""
+        raw, start, end = piece.buf, piece.start, piece.end
+        letter, low = LETTER[raw], LOWER[raw]
+        wide = np.flatnonzero(raw[:-1] == 0xC3)
+        wide = wide[LATIN[raw[wide + 1]]]
+        letter[wide] = letter[wide + 1] = True
+        low[wide[raw[wide + 1] <= 0x9E] + 1] += 0x20
+        middle, todo = end.copy(), np.flatnonzero(MARK[raw[end - 1]])
+        for _ in range(8):  # a word with more marks is one unit
+            middle[todo] -= 1
+            todo = todo[middle[todo] > start[todo]]
+            todo = todo[MARK[raw[middle[todo] - 1]]]
+        other = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(~letter, out=other[1:])
+        plain = other[middle] == other[start]
+        odd = np.flatnonzero(~plain)
+        middle[odd] = end[odd]
+        at = ragged(end[odd] - start[odd], start[odd])
+        low[at] = raw[at]
+        starts, ends = np.stack([start, middle], 1).ravel(), np.stack([middle, end], 1).ravel()
+        full = ends > starts
+        letters = np.stack([plain, np.zeros_like(plain)], 1).ravel()
+        return low, starts[full], ends[full], letters[full], np.concatenate([[0], np.cumsum(full)])[2 * piece.first]
+
+    def _numbers(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The number of each unit, after unknown ones have been learned."""
+        raw = low.tobytes()
+        size = end - start
+        out = np.empty(len(start), np.int64)
+        short = np.flatnonzero(size <= 16)
+        s, e, n = start[short], end[short], size[short]
+        eight = np.lib.stride_tricks.as_strided(np.frombuffer(raw + bytes(8), np.uint8), (len(raw) + 1, 8), (1, 1))
+        key1 = eight[s].view("<u8")[:, 0].astype(np.uint64) & FULL[np.minimum(n, 8)]
+        key2 = np.where(n > 8, eight[np.maximum(e - 8, 0)].view("<u8")[:, 0], 0).astype(np.uint64)
+        n = n.astype(np.uint64)
+        h = Units.mixed(key1, key2, n)
+        found = self.units.find(h, key1, key2, n)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            new = new[np.argsort(h[new], kind="stable")]
+            head = np.ones(len(new), bool)
+            head[1:] = (key1[new[1:]] != key1[new[:-1]]) | (key2[new[1:]] != key2[new[:-1]]) | (n[new[1:]] != n[new[:-1]])
+            first = new[head]
+            learned = self._learn([raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())], letters[short[first]].tolist())
+            found[new] = self.units.add(h[first], key1[first], key2[first], n[first], *learned)[np.cumsum(head) - 1]
+        out[short] = found
+        rest = np.flatnonzero(size > 16)
+        if len(rest):
+            words = [raw[a:b] for a, b in zip(start[rest].tolist(), end[rest].tolist())]
+            unknown = {w: k for w, k in zip(words, letters[rest].tolist()) if w not in self.long}
+            self.long |= zip(unknown, self.units.add(None, None, None, None, *self._learn(list(unknown), list(unknown.values()))).tolist())
+            out[rest] = [self.long[w] for w in words]
+        return out
+
+    def encode(self, piece: Piece) -> Iterator[bytes]:
+        """Ids of each text of a piece that is neither lower-cased nor cut at anything but white space."""
         if not self.by_words:
-            yield from self._ids([t.decode() for t in texts])
+            raw = piece.buf.tobytes()
+            for ids in self._ids([raw[a:b].decode() for a, b in zip(piece.at[:-1].tolist(), piece.at[1:].tolist())]):
+                yield np.array(ids, "<u4").tobytes()
             return
-        split = [t.split() for t in texts]
-        words = self.words
-        new: set[bytes] = set()
-        for s in split:
-            new.update(s)
-        new -= words.keys()
-        if new:
-            self._learn(new)
-            missing = [w for s in split for w in s if w not in words]  # the cache was cleared
-            if missing:
-                self._learn(set(missing))
-        for s in split:
-            yield b"".join(map(words.__getitem__, s))
+        if self.units.n > CACHE_WORDS:
+            self.units, self.long = Units(), {}
+        *spans, first = self._spans(piece)
+        number = self._numbers(*spans)
+        count = self.units.count[number]
+        ids = self.units.ids[ragged(count, self.units.at[number])].astype("<u4").tobytes()
+        until = (np.concatenate([[0], np.cumsum(count)])[first] * 4).tolist()
+        for a, b in zip(until[:-1], until[1:]):
+            yield ids[a:b]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -187,14 +286,10 @@ def _pack(text: str, source: str, path: str, size: int, end_id: int, share: dict
         held: dict[int, pa.Array] = {}  # rows of documents that still wait, by number
         number = 0
         for batch in batches:
-            raw, at = flat(row_text(batch, text))
-            raw = raw.tobytes()
             sources = pa.compute.struct_field(batch.column(ROW), source).to_pylist() if source else [None] * batch.num_rows
             bare = _without(batch.column(ROW), text)
-            for lo in range(0, batch.num_rows, 256):
-                hi = min(lo + 256, batch.num_rows)
-                texts = [raw[a:b] for a, b in zip(at[lo:hi].tolist(), at[lo + 1 : hi + 1].tolist())]
-                for i, ids in enumerate(tokenizer.encode(texts), lo):
+            for piece in pieces(row_text(batch, text)):
+                for i, ids in enumerate(tokenizer.encode(piece), piece.rows.start):
                     packer.put(sources[i], number, ids + end)
                     held[number] = bare.slice(i, 1)
                     number += 1
