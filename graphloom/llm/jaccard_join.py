@@ -14,7 +14,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.llm.substring_dedup import _cat, _local
-from graphloom.llm.textkit import BASES, RID, ROW, SPACED, Piece, mix, numbered, pieces, span_hash, stored
+from graphloom.llm.textkit import BASES, RID, ROW, SPACED, Piece, mix, numbered, pieces, ragged, scratch, span_hash, stored
 
 BLOCK = 4096
 FREQUENT = 64
 BLOOM_BITS = 1 << 23
 WORDS64 = 32  # of a bitmap
+PAIRS = 1 << 15  # whose bitmaps are compared at a time
 
 
 def _sets(piece: Piece, k: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,33 +180,58 @@ def _exact_tile(percent: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows whose first `keys` columns are equal, some at a time, with the number of each row's group; the rows come sorted by them."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if held is not None:
+            table = held if table is None else pa.concat_tables([held, table]).combine_chunks()
+        if table is None:
+            return
+        cols = [table.column(i).to_numpy() for i in range(keys)]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        cut = table.num_rows if batch is None else int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut), np.concatenate([[0], np.cumsum(new[: cut - 1])])
+
+
 def _likely_pairs(percent: int, most_each: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3):
+        for table, group in _runs(batches, 3):
             n = table.column("n").to_numpy().astype(np.int64)
-            order = np.argsort(n, kind="stable")
-            n, rid, part, own = n[order], *(table.column(c).to_numpy()[order] for c in ("rid", "part", "own"))
-            i_block, j_block = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            data = table.column("data").to_pylist()
-            bits = np.stack([np.frombuffer(data[i], np.uint64) for i in order.tolist()])
-            stop = np.searchsorted(n, n * 100 // percent, "right")
-            for i in range(len(n)):
-                js = np.arange(i + 1, stop[i])
-                js = js[part[js] != part[i]] if i_block == j_block else js[(part[js] != part[i]) & (own[js] != own[i])]
-                if not len(js):
-                    continue
-                most = _bound(bits, i, js, n)
-                fits = _reaches(most, n[i], n[js], percent)
-                js, most = js[fits], most[fits]
-                if most_each is not None and len(js) > most_each:
-                    by = np.lexsort((-most, part[js]))
-                    js = js[by]
-                    start = np.ones(len(js), bool)
-                    start[1:] = part[js][1:] != part[js][:-1]
-                    js = js[np.arange(len(js)) - np.maximum.accumulate(np.where(start, np.arange(len(js)), 0)) < most_each]
-                if len(js):
-                    a, b = np.minimum(rid[i], rid[js]), np.maximum(rid[i], rid[js])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            order = np.lexsort((n, group))
+            n, group = n[order], group[order]
+            rid, part, own, one, other = (table.column(c).to_numpy()[order] for c in ("rid", "part", "own", "i", "j"))
+            bits = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64).reshape(-1, WORDS64)[order]
+            lack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+            stop = np.searchsorted((group << 32) + n, (group << 32) + n * 100 // percent, "right")
+            counts = stop - np.arange(len(n)) - 1
+            until = np.cumsum(counts)
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(until, until[lo] - counts[lo] + PAIRS, "right")))
+                i, j = np.repeat(np.arange(lo, hi), counts[lo:hi]), ragged(counts[lo:hi], np.arange(lo, hi) + 1)
+                lo = hi
+                apart = (part[i] != part[j]) & ((one[i] == other[i]) | (own[i] != own[j]))
+                i, j = i[apart], j[apart]
+                # Each bit that only one has is an element that the other lacks.
+                both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+                most = both + np.minimum(lack[i], lack[j])
+                fits = _reaches(most, n[i], n[j], percent)
+                i, j, most = i[fits], j[fits], most[fits]
+                if most_each is not None and len(i):
+                    by = np.lexsort((-most, part[j], i))
+                    i, j = i[by], j[by]
+                    start = np.ones(len(i), bool)
+                    start[1:] = (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])
+                    near = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < most_each
+                    i, j = i[near], j[near]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j]))], names=["a", "b"])
 
     return run
 
@@ -242,6 +270,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("rid"), F.col("v").alias("part")).union(edges.select("v", "v").distinct())
 
 
+def _bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, dealt into buckets by key, and the table's name: joins on the key leave its rows where they are."""
+    spark, name = df.sparkSession, f"graphloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 75) -> DataFrame:
     """docs as column ROW with n_shingles, component_id (smallest id that links reach) and keeper (true in one row of each component).
 
@@ -253,12 +288,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     smallest id, null ids last, then the first row. An empty table gives an empty table. Other columns and clashing names
     only travel inside ROW.
     """
+    spark = docs.sparkSession
     base = numbered(docs).select(F.col(RID).alias("rid"), F.col(ROW).alias("row"))
     body = F.coalesce(F.col("row").getField(text), F.lit(""))
     keyed = base.select("rid", F.col("row").getField(id_col).alias("id"), F.md5(body.cast("binary")).alias("copy"))
     groups = keyed.groupBy("copy").agg(F.min("rid").alias("head"))
     about = stored(keyed.join(groups, "copy").select("rid", "id", "head"), "about")
-    heads = base.join(about.filter("rid = head").select("rid").hint("shuffle_hash"), "rid")
+    heads, table = _bucketed(base.select("rid", F.struct(F.col("row").getField(text).alias(text)).alias("row")).join(about.filter("rid = head").select("rid").hint("shuffle_hash"), "rid"), "rid")
 
     local = base.select("row").mapInArrow(_frequent(text, shingle), "h long, n long")
     often = local.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
@@ -277,7 +313,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     likely = stored(tiles.groupBy("rid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("h").alias("home")).filter(F.col("c") >= least).select("rid", "home"), "likely")
     blocks = likely.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
     homes = likely.join(blocks, "home", "left").select("rid", "home", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).alias("block"))
-    placed = base.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", "row").mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
+    placed = heads.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", "row").mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
     links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
 
     tiles = tiles.join(likely.select("rid"), "rid", "left_semi")
@@ -288,19 +324,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         members = stored(marked.join(mixed, "h"), "members")
         if members.isEmpty():
             break
-        bitmaps = base.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
+        bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
         own = members.join(bitmaps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
         spread = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "n", "data")
         pairs = spread.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_likely_pairs(percent, most_each), "a long, b long")
         pairs = stored(pairs.distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        sets = base.join(ends.hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
+        sets = heads.join(ends.hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
         both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("data").alias("y")), "b")
         more = stored(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
         links = links.union(more)
     else:
         parts = components(links)
 
+    spark.sql(f"DROP TABLE {table}")  # nothing below reads it; the files stay as those of other stored tables do
     whole = about.join(sizes.select(F.col("rid").alias("head"), F.col("n").cast("long").alias("n_shingles")), "head").join(parts.select(F.col("rid").alias("head"), "part"), "head", "left")
     whole = whole.withColumn("part", F.when(F.col("n_shingles") == 0, F.col("rid")).otherwise(F.coalesce("part", "head")))
     whole = stored(whole.select("rid", "id", "n_shingles", "part"), "members")
