@@ -7,9 +7,11 @@
 3. The rest meet in tiles, one per shared shingle. Inside a tile sets are ordered by size and a set is held against its band of
    sizes only (n_j <= n_i / t); bit counts of hashed bitmaps bound the overlap from above before sorted arrays are intersected.
    Each text first goes, with its set, to the tile of its smallest shared shingle, where links are exact.
-4. Then all tiles are gone through for pairs across components, first the two likeliest partners of each text in each other
-   component, in the end every pair that the bitmaps leave; those are verified on the sets. Members of one component are never
-   paired, so a large group costs no pairs; tiles beyond BLOCK members are cut into pairs of blocks.
+4. Then all tiles are gone through for pairs across components, first for the likeliest few of each two components, so that few
+   links merge them, in the end for every pair. A pair's shared emitted shingles are counted over its tiles: each emitted one that
+   it does not share lowers the bound, also where long sets fill the bitmaps. Only pairs that both bounds leave are verified on
+   the sets. Members of one component are never paired, so a large group costs no pairs; tiles beyond BLOCK members are cut into
+   pairs of blocks.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FREQUENT = 64
 BLOOM_BITS = 1 << 23
 WORDS64 = 32  # of a bitmap
 PAIRS = 1 << 15  # whose bitmaps are compared at a time
+NEAR = 2  # partners of a text in another component and tile, in the first round
+BEST = 8  # pairs of two components that the first round verifies
 
 
 def _sets(piece: Piece, k: int, heavy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,11 +235,36 @@ def _likely_pairs(percent: int, most_each: int | None):
                     near = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < most_each
                     i, j = i[near], j[near]
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[i], rid[j])), pa.array(np.maximum(rid[i], rid[j]))], names=["a", "b"])
+                    swap = rid[i] > rid[j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rid[i], rid[j], part[i], part[j], n[i], n[j], most)], names=PAIR_COLUMNS)
 
     return run
 
 
+PAIR_COLUMNS = ["a", "b", "part_a", "part_b", "n_a", "n_b", "most"]
+
+
+def _emitted(n: str, percent: int) -> str:
+    """SQL for the number of shingles that a set of n emits."""
+    return f"{n} - ({n} * {percent} + 99) div 100 + ({n} + 9) div 10"
+
+
+def _promising(pairs: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) that can reach the threshold by bitmaps and shared emitted shingles, or the best of each two components.
+
+    The set whose emitted shingles end first in the order lacks none of its shared ones among the other's, so what it emitted and
+    does not share is not in the other set. Which one ends first is not known here; the larger bound of the two holds anyway.
+    """
+    each = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in PAIR_COLUMNS[2:]))
+    each = each.withColumn("most", F.expr(f"least(most, greatest(n_a - ({_emitted('n_a', percent)}) + k, n_b - ({_emitted('n_b', percent)}) + k))"))
+    each = each.filter(F.expr(f"100 * most >= {percent} * (n_a + n_b - most)"))
+    if best is None:
+        return each.select("a", "b")
+    top = F.max(F.struct(F.expr("most / (n_a + n_b - most)"), "k", "a", "b")).alias("t")
+    return each.groupBy(F.least("part_a", "part_b"), F.greatest("part_a", "part_b"), F.pmod(F.xxhash64("a"), F.lit(best))).agg(top).select("t.a", "t.b")
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +346,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
 
     tiles = tiles.join(likely.select("rid"), "rid", "left_semi")
-    for most_each in (2, None):
+    for most_each, best in ((NEAR, BEST), (None, None)):
         parts = components(links)
         marked = tiles.join(parts, "rid", "left").select("h", "rid", F.coalesce("part", "rid").alias("part"))
         mixed = marked.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("lo < hi").select("h", "blocks")
@@ -327,8 +356,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
         own = members.join(bitmaps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
         spread = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "n", "data")
-        pairs = spread.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_likely_pairs(percent, most_each), "a long, b long")
-        pairs = stored(pairs.distinct(), "pairs")
+        pairs = spread.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_likely_pairs(percent, most_each), ", ".join(f"{c} long" for c in PAIR_COLUMNS))
+        pairs = stored(_promising(pairs, percent, best), "pairs")
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
         sets = heads.join(ends.hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
         both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("data").alias("y")), "b")
