@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.llm.substring_dedup import _cat, _local
-from graphloom.llm.textkit import BASES, RID, ROW, SPACED, Piece, mix, numbered, pieces, ragged, scratch, span_hash, stored
+from graphloom.llm.textkit import BASES, RID, ROW, SPACED, Piece, exchanges_freed, mix, numbered, pieces, ragged, scratch, span_hash, stored
 
 BLOCK = 4096
 FREQUENT = 64
@@ -302,7 +302,8 @@ def components(links: DataFrame) -> DataFrame:
 def _bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, dealt into buckets by key, and the table's name: joins on the key leave its rows where they are."""
     spark, name = df.sparkSession, f"graphloom_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
+    with exchanges_freed(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
     return spark.table(name), name
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -183,10 +184,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def exchanges_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the exchange files of a write go once the write is done: what follows reads the written table."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet into the shared folder and read back: short lineage that any executor can read again."""
     path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with exchanges_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
