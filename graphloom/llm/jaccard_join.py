@@ -229,11 +229,11 @@ def _likely_pairs(percent: int, most_each: int | None):
                 i, j, most = i[fits], j[fits], most[fits]
                 if most_each is not None and len(i):
                     by = np.lexsort((-most, part[j], i))
-                    i, j = i[by], j[by]
+                    i, j, most = i[by], j[by], most[by]
                     start = np.ones(len(i), bool)
                     start[1:] = (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])
                     near = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < most_each
-                    i, j = i[near], j[near]
+                    i, j, most = i[near], j[near], most[near]
                 if len(i):
                     swap = rid[i] > rid[j]
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
