@@ -1,10 +1,11 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-One pass tokenizes and packs; nothing is shuffled. Each task holds a queue for every source. A window of max_tokens credits each
-source with its share of the window; the source with the largest deficit is served from the head of its queue, at most one
-quantum at a visit, and pays for it. Deficits, also negative ones, carry over to the next window. Partitions carry them too: the
-shares and what earlier partitions hold of each source come from one aggregate over all rows, and a task begins with the
-deficit that the partitions before it leave (of its lane, at most LANES of them, so that the table stays small).
+Documents are dealt first, so that the mixture does not depend on how the table is written or sorted: each gets a random place
+among the texts of its source, by a hash of its row's number, and the places of all sources are laid out along one line at the
+pace of the mixture, until a source ends. A task takes an equal stretch of that line, in its order. It then tokenizes and packs
+in one pass and holds a queue for every source. A window of max_tokens credits each source with its share of the window; the
+source with the largest deficit is served from the head of its queue, at most one quantum at a visit, and pays for it. Deficits,
+also negative ones, carry over to the next window.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from string import ascii_letters
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import BASES, LOWER, ROW, Piece, numbered, pieces, ragged, row_text
+from graphloom.llm.textkit import BASES, LOWER, RID, ROW, Piece, numbered, pieces, ragged, row_text
 
-LANES = 256
 #: Tokens that wait in a task's queues before windows are filled; more of them keep windows closer to the target.
 LOOKAHEAD = 1 << 18
 QUANTUM = 2048
@@ -222,10 +222,10 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 
 class Packer:
-    """Windows of one task. share: target proportion of each source; owed: the deficits it begins with."""
+    """Windows of one task. share: target proportion of each source."""
 
-    def __init__(self, share: dict, owed: dict, size: int, first_id: int):
-        self.share, self.owed, self.size, self.next_id = share, dict(owed), size, first_id
+    def __init__(self, share: dict, size: int, first_id: int):
+        self.share, self.owed, self.size, self.next_id = share, {}, size, first_id
         self.queues: dict = {}
         self.waiting = 0
 
@@ -271,11 +271,11 @@ class Packer:
                 yield from self.window(1 << (self.waiting.bit_length() - 1))
 
 
-def _pack(text: str, source: str, path: str, size: int, end_id: int, share: dict, carry: dict, parts: int):
+def _pack(text: str, source: str, path: str, size: int, end_id: int, share: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TaskContext.get().partitionId()
         tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
-        packer = Packer(share, carry.get(index * LANES // max(parts, 1), {}), size, index << 40)
+        packer = Packer(share, size, index << 40)
 
         def out(rows: list[tuple], docs: list) -> pa.RecordBatch:
             places = [r[0] for r in rows]
@@ -317,6 +317,26 @@ def _without(rows: pa.StructArray, text: str) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.compute.struct_field(rows, f.name) for f in kept], fields=kept) if kept else rows
 
 
+def _placed(base: DataFrame, by: Column, total: dict, share: dict | None) -> DataFrame:
+    """base with __at: where on the line of all texts, in [0, 1), a document is read.
+
+    total: bytes of each source; share: target share of each source, None for the shares that the sources have.
+    """
+    u = F.xxhash64(RID).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    if not share:
+        return base.withColumn("__at", u)
+    ends = {s: total[s] / w for s, w in share.items() if w > 0 and total.get(s)}
+    last = max(ends.values(), default=0.0)
+    clock = F.lit(last) + u  # sources without a share come after the others
+    for s, end in ends.items():
+        clock = F.when(by.eqNullSafe(F.lit(s)), u * F.lit(end)).otherwise(clock)
+    within = lambda a, b: F.least(F.greatest(F.col("__clock") - F.lit(a), F.lit(0.0)), F.lit(b - a))
+    read, begin = within(last, last + 1) * F.lit(float(sum(b for s, b in total.items() if s not in ends))), 0.0
+    for end in sorted(set(ends.values())):  # bytes that all sources have been read by then
+        read, begin = read + within(begin, end) * F.lit(sum(share[s] for s, e in ends.items() if e >= end)), end
+    return base.withColumn("__clock", clock).withColumn("__at", read / F.lit(float(max(1, sum(total.values())))))
+
+
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "source", max_tokens: int = 4096, end_id: int = 2, mixture: dict | None = None) -> DataFrame:
     """Pieces of documents in sequences: ROW (the document's other columns), start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -329,24 +349,16 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "sou
 
     A sequence id is the partition's number and a counter, so a task that runs again gives the same rows.
     """
-    base = numbered(docs).select(ROW)
-    parts = base._jdf.queryExecution().toRdd().getNumPartitions()
+    base = numbered(docs)
+    parts = max(1, base._jdf.queryExecution().toRdd().getNumPartitions())
     body = F.coalesce(F.octet_length(F.col(ROW).getField(text)), F.lit(0)) + 1
     by = F.col(ROW).getField(source) if source in docs.columns else F.lit(None).cast("string")
-    lane = (F.spark_partition_id() * F.lit(LANES) / F.lit(max(parts, 1))).cast("int")
-    sizes = base.select(lane.alias("lane"), by.alias("source"), body.alias("b")).groupBy("lane", "source").agg(F.sum("b").alias("b")).collect()  # LANES rows a source at most
-    total: dict = {}
-    for r in sizes:
-        total[r["source"]] = total.get(r["source"], 0) + r["b"]
+    total = {r["source"]: r["b"] for r in base.select(by.alias("source"), body.alias("b")).groupBy("source").agg(F.sum("b").alias("b")).collect()}  # a row a source
     weights = dict(mixture) if mixture else total
     share = {s: w / max(1e-12, sum(weights.values())) for s, w in weights.items()}
-    carry, before, all_before, limit = {}, dict.fromkeys(total, 0), 0, 4.0 * max_tokens
-    for k in sorted({r["lane"] for r in sizes}):
-        carry[k] = {s: float(np.clip((share.get(s, 0.0) * all_before - before[s]) / 4, -limit, limit)) for s in total}  # some 4 bytes a token
-        for r in sizes:
-            if r["lane"] == k:
-                before[r["source"]] += r["b"]
-                all_before += r["b"]
+    placed = _placed(base, by, total, share if mixture else None)
+    dealt = placed.repartitionById(parts, F.least(F.floor(F.col("__at") * parts), F.lit(parts - 1)).cast("int"))
+    dealt = dealt.sortWithinPartitions("__at", RID).select(ROW)  # else the order in which blocks are fetched would show
     kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text) or f"`{text}`: string"
     numbers = ", ".join(f"{c} long" for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    return base.mapInArrow(_pack(text, source if source in docs.columns else "", tokenizer, max_tokens, end_id, share, carry, parts), f"{ROW} struct<{kept}>, {numbers}")
+    return dealt.mapInArrow(_pack(text, source if source in docs.columns else "", tokenizer, max_tokens, end_id, share), f"{ROW} struct<{kept}>, {numbers}")

@@ -142,6 +142,27 @@ def test_packing_follows_the_mixture(spark):
     assert abs(early["a"] - early["b"]) < 4096
 
 
+@pytest.mark.parametrize("mixture", [None, {"a": 3, "b": 1}])
+def test_packing_follows_the_mixture_over_a_sorted_table(spark, tmp_path, mixture):
+    """Eight partitions of one source each: every window has the target shares while both sources last."""
+    import public_tokenizers
+
+    docs = spark.range(0, 3200, 1, 8).selectExpr("id AS doc_id", "repeat('alpha beta gamma delta ', 200) AS text", "if(id < 1600, 'a', 'b') AS source")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = pack(docs, public_tokenizers.path("word_bpe_49k.json"), mixture=mixture).collect()
+    assert sum(r["length"] for r in rows) == sum({r[ROW]["doc_id"]: r["doc_tokens"] for r in rows}.values()) and len({r[ROW]["doc_id"] for r in rows}) == 3200
+    windows, tasks = defaultdict(Counter), Counter()
+    for r in rows:
+        windows[r["sequence_id"]][r[ROW]["source"]] += r["length"]
+        tasks[r["sequence_id"] >> 40] += r["length"]
+    assert max(tasks.values()) < 1.3 * sum(tasks.values()) / len(tasks)
+    full = [w["a"] / 4096 for _, w in sorted(windows.items()) if sum(w.values()) == 4096]
+    target, lasts = (0.5, 1.0) if mixture is None else (0.75, 2 / 3)  # a ends when two thirds of all tokens are packed
+    near = [abs(share - target) < 0.15 for share in full[: int(len(full) * (lasts - 0.05))]]
+    assert sum(near) > 0.9 * len(near)
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
