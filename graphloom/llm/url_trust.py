@@ -2,7 +2,8 @@
 
 Hosts whose pages the rules allow are trusted seeds, hosts whose pages the rules block are blocked seeds, each by its share of such
 pages. Trust follows links (personalised PageRank from the trusted seeds); distrust runs against them (a host that links to a
-distrusted host takes some of it). Both spread together, as rows of one table, in DataFrame operations only. A host whose
+distrusted host takes some of it). Both spread together, as rows of one table, in DataFrame operations only, until what has not
+arrived yet could change no host by more than a tolerance. A host whose
 distrust is above its trust and reaches half of what a wholly blocked host has by itself is blocked.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.textkit import stored
 
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TOLERANCE, MOST_ROUNDS = 1e-7, 2000
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -44,8 +46,12 @@ def host_links(pages: DataFrame, html: str) -> DataFrame:
     return links.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, trust, distrust) after `rounds` rounds. seeds: host, t, d in [0, 1]; links: src, dst, n."""
+def spread(links: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
+    """(host, trust, distrust) within TOLERANCE of the fixed point. seeds: host, t, d in [0, 1]; links: src, dst, n.
+
+    A round adds what paths of one more link carry: never less than nothing, and in all `damping` times what the round before
+    added at most. So the sums over all hosts tell how much the paths not yet followed can carry. MOST_ROUNDS without an end is an error.
+    """
     ahead = links.select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     back = links.select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     both = ahead.union(back)
@@ -53,17 +59,24 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> D
     edges = stored(both.join(share, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("w")), "edges")
     start = seeds.select("host", F.explode(F.create_map(F.lit("t"), F.col("t"), F.lit("d"), F.col("d"))).alias("kind", "s")).filter("s > 0")
     start = stored(start.select("kind", "host", (F.col("s") * (1 - damping)).alias("s")), "seeds")
-    state = start
-    for k in range(rounds):
-        moved = state.join(edges, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("s") * F.col("w") * damping).alias("s"))
-        state = start.union(moved).groupBy("kind", "host").agg(F.round(F.sum("s"), 9).alias("s"))
-        if k % 4 == 3 and k + 1 < rounds:
-            state = stored(state, "ranks")  # short lineage
+    mass = lambda rows: rows.agg(F.sum("s")).first()[0] or 0.0
+    state, held, block = start, mass(start), 4
+    for _ in range(0, MOST_ROUNDS, block):
+        for _ in range(block):
+            moved = state.join(edges, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("s") * F.col("w") * damping).alias("s"))
+            state = start.union(moved).groupBy("kind", "host").agg(F.sum("s").alias("s"))
+        state = stored(state, "ranks")  # short lineage
+        before, held = held, mass(state)
+        if (held - before) * damping**block / (1 - damping**block) <= TOLERANCE:
+            break
+    else:
+        raise RuntimeError(f"trust has not settled after {MOST_ROUNDS} rounds: the last {block} added {held - before}")
+    state = state.withColumn("s", F.round("s", 9))
     out = state.groupBy("host").agg(F.sum(F.when(F.col("kind") == "t", F.col("s"))).alias("trust"), F.sum(F.when(F.col("kind") == "d", F.col("s"))).alias("distrust"))
     return out.select("host", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("trust", "distrust")))
 
 
-def judge_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), damping: float = 0.85) -> DataFrame:
     """The columns in keep with host, path, rule (or null), verdict (allow or block), trust and distrust.
 
     rules: verdict by rule, a host and a path like `net/fr/`; the longest that fits decides. Elsewhere the host's trust and
@@ -83,7 +96,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str], url: str = "url", html:
     ruled = ruled.withColumn("ruled", verdict)
     share = lambda word: (F.count_if(F.col("ruled") == word) / F.count("*"))
     seeds = ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("t"), share("block").alias("d"))
-    scores = spread(host_links(ruled, "html"), seeds, damping, rounds)
+    scores = spread(host_links(ruled, "html"), seeds, damping)
     out = ruled.drop("html").join(scores, "host", "left")
     for c in ("trust", "distrust"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0.0)))

@@ -84,6 +84,23 @@ def test_url_trust(spark):
     assert out[3]["trust"] == round(0.15 * 0.85, 6) and out[4]["distrust"] == round(0.15 * 0.85, 6) and out[9]["distrust"] == 0
 
 
+def test_url_trust_spreads_to_the_end(spark):
+    """Chains of 9 and 40 links and a cycle of link farms, against the dense solution."""
+    links = [(f"h{i}", f"b{k}" if i == 1 else f"h{i - 1}") for i in range(1, 41) for k in range(3 if i == 1 else 1)]
+    links += [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("c0", "c2"), ("c1", "c2"), ("c3", "b3"), ("c4", "b3"), ("c2", "b4")]
+    blocked = [f"b{k}" for k in range(5)] + ["c2"]
+    urls = {**{h: f"https://{h}/bad" for h in blocked}, **{a: f"https://{a}/{'bad' if a in blocked else 'x'}" for a, _ in links}}
+    pages = [(h, u, "".join(f'<a href="https://{t}/x">y</a>' for s, t in links if s == h)) for h, u in urls.items()]
+    out = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(pages, "page_id string, url string, html string"), {f"{h}/bad": "block" for h in blocked}).collect()}
+    hosts = sorted(urls)
+    back = np.array([[float(links.count((a, b))) for a in hosts] for b in hosts])  # from b to those who link to it
+    back /= np.maximum(back.sum(1, keepdims=True), 1)
+    want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * back.T, 0.15 * np.array([h in blocked for h in hosts]))
+    assert max(abs(out[h]["distrust"] - w) for h, w in zip(hosts, want)) < 2e-6
+    assert out["h9"]["distrust"] == pytest.approx(3 * 0.15 * 0.85**9, abs=1e-6) and out["h9"]["verdict"] == "block"
+    assert 0 < out["h40"]["distrust"] < out["h39"]["distrust"] and out["h40"]["verdict"] == "allow"
+
+
 def test_language_model():
     model = language_id.Model(["the cat sat on the mat", "le chat est sur la table"] * 3, ["en", "fr"] * 3)
     # All next letters after "#t" in English: probabilities sum to one.
