@@ -27,7 +27,7 @@ _DEFINITIONS = {
     "php": [("class", rf"^\s*(?:abstract |final )*class {_WORD}"), ("interface", rf"^\s*interface {_WORD}"), ("function", rf"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function {_WORD}\s*\((?P<args>[^)]*)\)")],
     "javascript": [("class", rf"^\s*(?:export )?(?:default )?class {_WORD}"), ("function", rf"^\s*(?:export )?(?:default )?(?:async )?function\*? {_WORD}\s*\((?P<args>[^)]*)\)"), ("function", rf"^\s*(?:export )?(?:const|let|var) {_WORD}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b[^(]*)?\((?P<args>[^)]*)\)"), ("method", rf"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|return\b|catch\b){_WORD}\s*\((?P<args>[^)]*)\)\s*(?::[^{{;]+)?\{{")],
     "go": [("function", rf"^func (?:\(\w+ \*?(?P<owner>\w+)\) )?{_WORD}\s*\((?P<args>[^)]*)\)"), ("class", rf"^type {_WORD} struct"), ("interface", rf"^type {_WORD} interface")],
-    "csharp": [("class", rf"^\s*(?:(?:public|private|internal|static|sealed|abstract|partial)\s+)*class {_WORD}"), ("interface", rf"^\s*(?:(?:public|internal)\s+)*interface {_WORD}"), ("method", rf"^\s*(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\],?]+ {_WORD}\s*\((?P<args>[^)]*)\)")],
+    "csharp": [("class", rf"^\s*(?:(?:public|private|internal|static|sealed|abstract|partial)\s+)*class {_WORD}"), ("interface", rf"^\s*(?:(?:public|internal)\s+)*interface {_WORD}"), ("method", rf"^\s*(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+(?P<returns>[\w.]+(?:<[\w\s.<>\[\],?]*>)?[\[\],?]*) {_WORD}\s*\((?P<args>[^)]*)\)")],
 }
 _DEFINITIONS["typescript"] = [("interface", rf"^\s*(?:export )?interface {_WORD}"), ("class", rf"^\s*(?:export )?enum {_WORD}"), *_DEFINITIONS["javascript"]]
 _IMPORT = re.compile(r"""^\s*(?:use ([\w\\]+)|import .*?from ['"]([^'"]+)|import "([^"]+)"|using ([\w.]+);|.*require\(['"]([^'"]+))""")
@@ -38,7 +38,34 @@ _COMMENT = re.compile(r"(?:^|\s)(?://|#(?!\[)|/?\*+)\s?(.*)$")
 
 
 def _row(kind: str, **more) -> dict:
-    return {"kind": kind, "type": None, "name": None, "start_line": None, "end_line": None, "visibility": None, "is_async": False, "parameters": [], "parent_symbol": None, "summary": "", "owner": None, "target": None, "relation": None, "context": None, "is_bridge": False} | more
+    return {"kind": kind, "type": None, "name": None, "start_line": None, "end_line": None, "visibility": None, "is_async": False, "parameters": [], "return_type": None, "parent_symbol": None, "summary": "", "owner": None, "target": None, "relation": None, "context": None, "is_bridge": False} | more
+
+
+def _returns(code: str, m: re.Match, language: str) -> str | None:
+    """The return type in a definition's line; null where there is none, for PHP's union types and for Go's result lists."""
+    parts = m.groupdict()
+    if parts.get("returns") or parts.get("args") is None:
+        return parts.get("returns")
+    at, depth = m.start("args"), 1
+    while at < len(code) and depth:
+        depth += (code[at] == "(") - (code[at] == ")")
+        at += 1
+    rest = code[at:].strip()
+    if language == "php":
+        found = re.match(r":\s*(\??[\w\\]+)(?!\s*[|&\w\\])", rest)
+        return found[1] if found else None
+    if language == "go":
+        found = re.match(r"(.*?)(?:(?<!interface)(?<!struct)\{|$)", rest)[1].strip()
+        return found if re.fullmatch(r"(?:\*|\[|map\[).+|(?!interface\b|struct\b|func\b|chan\b)[\w.]+", found) else None
+    if language != "typescript" or not rest.startswith(":"):
+        return None
+    rest, depth, arrow = rest[1:].strip(), 0, not re.search(r"\bfunction\b", code) and "=" in code[: m.start("args")]
+    for i, c in enumerate(rest):  # until the body, the arrow of an arrow function or the end of a signature
+        points = rest[i : i + 2] == "=>"
+        if not depth and (c == ";" or points and arrow or c == "{" and i and not re.search(r"(?:[|&]|=>)\s*$", rest[:i])):
+            return rest[:i].strip() or None
+        depth += (c in "([{<") - (c in ")]}" or c == ">" and rest[i - 1 : i] != "=")
+    return rest or None
 
 
 def python_rows(text: str) -> Iterator[dict]:
@@ -50,7 +77,7 @@ def python_rows(text: str) -> Iterator[dict]:
     def function(f, prefix, kind):
         args = [a.arg for a in (*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs) if a.arg not in ("self", "cls")]
         name = prefix + f.name
-        yield _row("node", type=kind, name=name, start_line=f.lineno, end_line=f.end_lineno, is_async=isinstance(f, ast.AsyncFunctionDef), parameters=args, visibility="private" if f.name.startswith("_") else "public", summary=ast.get_docstring(f) or "")
+        yield _row("node", type=kind, name=name, start_line=f.lineno, end_line=f.end_lineno, is_async=isinstance(f, ast.AsyncFunctionDef), parameters=args, return_type=ast.unparse(f.returns) if f.returns else None, visibility="private" if f.name.startswith("_") else "public", summary=ast.get_docstring(f) or "")
         if not prefix:
             for d in f.decorator_list:
                 if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.func.value.id in HOLDERS and d.func.attr in VERBS and d.args and isinstance(d.args[0], ast.Constant):
@@ -95,7 +122,7 @@ def scanned_rows(text: str, language: str) -> Iterator[dict]:
                 args = [re.split(r"[\s:=]+", a.strip().lstrip("$&."))[0] if language in ("javascript", "typescript", "go") else a.split("=")[0].split()[-1].lstrip("$&.") for a in (parts.get("args") or "").split(",") if a.strip()]
                 sep = "::" if language == "php" else "."
                 seen = re.search(r"\b(public|private|protected|internal)\b", code)
-                found = _row("node", type="method" if base else kind, name=f"{base}{sep}{m['name']}" if base else m["name"], start_line=i, end_line=i, is_async="async" in code.split("(")[0], parameters=args, visibility=seen[1] if seen else None)
+                found = _row("node", type="method" if base else kind, name=f"{base}{sep}{m['name']}" if base else m["name"], start_line=i, end_line=i, is_async="async" in code.split("(")[0], parameters=args, return_type=_returns(code, m, language), visibility=seen[1] if seen else None)
                 if base:
                     yield _row("edge", owner=base, target=found["name"], relation="defines")
                 break
@@ -121,7 +148,7 @@ def scanned_rows(text: str, language: str) -> Iterator[dict]:
         yield row
 
 
-_SCHEMA = "path string, language string, error string, n int, kind string, type string, name string, start_line int, end_line int, visibility string, is_async boolean, parameters array<string>, parent_symbol string, summary string, owner string, target string, relation string, context string, is_bridge boolean"
+_SCHEMA = "path string, language string, error string, n int, kind string, type string, name string, start_line int, end_line int, visibility string, is_async boolean, parameters array<string>, return_type string, parent_symbol string, summary string, owner string, target string, relation string, context string, is_bridge boolean"
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -144,7 +171,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = files.filter("language is not null").select("path", "language", "content").mapInPandas(_extract, _SCHEMA)
     nodes = rows.filter("kind = 'node'").select(
         "n", make_id(F.col("path"), F.col("name")).alias("id"), "type", "name", F.col("path").alias("file"), "start_line", "end_line", "language", "visibility", "is_async",
-        F.lit(None).cast("int").alias("complexity_score"), "parameters", F.lit(None).cast("string").alias("return_type"), "parent_symbol", "summary",
+        F.lit(None).cast("int").alias("complexity_score"), "parameters", "return_type", "parent_symbol", "summary",
     )
     edges = rows.filter("kind = 'edge'").select(
         make_id(F.col("path"), F.col("owner")).alias("source"), make_id(F.when(F.col("relation") == "defines", F.col("path")).otherwise(""), F.col("target")).alias("target"), "relation", "is_bridge",

@@ -84,6 +84,29 @@ def test_extraction_and_snapshot(spark, tmp_path):
     assert snapshot.load(spark, str(tmp_path / "none")) is None
 
 
+RETURNS = {
+    "r.py": "def a(x) -> dict[str, int]:\n    return x\ndef b():\n    pass\nclass C:\n    async def m(self) -> 'User | None':\n        pass\n",
+    "r.php": "<?php\nclass R\n{\n    public function a(int $x): ?User\n    {\n    }\n    public function b(): int|string\n    {\n    }\n    public function c()\n    {\n    }\n}\n",
+    "r.go": "func A(cb func(int) string) *User {\n}\nfunc B() (int, error) {\n}\nfunc C() map[string]interface{} {\n}\nfunc D() {\n}\n",
+    "R.cs": "public class R\n{\n    public async Task<Dictionary<string, int>> A(int x)\n    {\n    }\n    private User[] B() => null;\n    public void C()\n    {\n    }\n}\n",
+    "r.ts": "export function a(cb: (x: number) => void): Promise<User> {\n}\nexport const b = (s: string): number => {\n}\nfunction c(): { id: number } | null {\n}\nclass K {\n  async d(x: number): Promise<Map<string, User>> {\n  }\n  e(x) {\n  }\n}\nfunction f(): (x: number) => void {\n}\n",
+}
+
+
+def test_return_types(spark, tmp_path):
+    for name, text in RETURNS.items():
+        (tmp_path / name).write_text(text)
+    nodes, _, _ = extract.extract(files.scan(spark, f"file://{tmp_path}"))
+    got = {(r.file, r.name): r.return_type for r in nodes.filter("type in ('function', 'method')").collect()}
+    assert got == {
+        ("r.py", "a"): "dict[str, int]", ("r.py", "b"): None, ("r.py", "C.m"): "'User | None'", ("r.php", "R::a"): "?User", ("r.php", "R::b"): None, ("r.php", "R::c"): None,
+        ("r.go", "A"): "*User", ("r.go", "B"): None, ("r.go", "C"): "map[string]interface{}", ("r.go", "D"): None, ("R.cs", "R.A"): "Task<Dictionary<string, int>>", ("R.cs", "R.B"): "User[]", ("R.cs", "R.C"): "void",
+        ("r.ts", "a"): "Promise<User>", ("r.ts", "b"): "number", ("r.ts", "c"): "{ id: number } | null", ("r.ts", "K.d"): "Promise<Map<string, User>>", ("r.ts", "K.e"): None, ("r.ts", "f"): "(x: number) => void",
+    }
+    found = lookup.structural_search(nodes.withColumn("seq", F.col("n")), *lookup.structure(return_type="user"))
+    assert {(r.file, r.name) for r in found.collect()} == {("r.py", "C.m"), ("r.php", "R::a"), ("r.go", "A"), ("R.cs", "R.B"), ("r.ts", "a"), ("r.ts", "K.d")}
+
+
 def test_git(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True)
     git("init", "-q")
