@@ -22,10 +22,11 @@ def _run(root: str, *command: str, timeout: int = 30) -> str:
     return subprocess.run(command, cwd=root, capture_output=True, text=True, timeout=timeout, check=True).stdout
 
 
-def git_log(spark: SparkSession, root: str, path: str | None = None, limit: int = 50) -> DataFrame:
-    """revision, author, date, message, files_changed; newest first by `seq`."""
-    text = _run(root, "git", "log", f"-n{limit}", "--name-only", f"--format={_RECORD}%H{_FIELD}%an{_FIELD}%aI{_FIELD}%s{_FIELD}", *(["--", path] if path else []))
-    rows = spark.createDataFrame([(i, r) for i, r in enumerate(text.split(_RECORD)[1:])], "seq long, r string")  # `limit` rows
+def git_log(spark: SparkSession, root: str, path: str | None = None, limit: int | None = 50, days: int | None = None) -> DataFrame:
+    """revision, author, date, message, files_changed; newest first by `seq`. At most `limit` commits, committed in the last `days` days."""
+    bounds = [*([f"-n{limit}"] if limit is not None else []), *([f"--since-as-filter={days} days ago"] if days is not None else [])]
+    text = _run(root, "git", "log", *bounds, "--name-only", f"--format={_RECORD}%H{_FIELD}%an{_FIELD}%aI{_FIELD}%s{_FIELD}", *(["--", path] if path else []))
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(text.split(_RECORD)[1:])], "seq long, r string")  # the commits within the bounds
     f = F.split("r", _FIELD)
     return rows.select("seq", f[0].alias("revision"), f[1].alias("author"), F.to_timestamp(f[2]).alias("date"), f[3].alias("message"), F.filter(F.split(F.trim(f[4]), r"\n"), lambda x: x != "").alias("files_changed"))
 
@@ -44,3 +45,8 @@ def git_blame(spark: SparkSession, root: str, path: str) -> DataFrame:
 def churn(commits: DataFrame, days: int = 90) -> DataFrame:
     recent = commits.filter(F.col("date") > F.current_timestamp() - F.expr(f"interval {days} days"))
     return recent.select(F.explode("files_changed").alias("file")).groupBy("file").agg(F.count("*").alias("churn"))
+
+
+def git_churn(spark: SparkSession, root: str, path: str | None = None, days: int = 90) -> DataFrame:
+    """churn over all commits of the window, however many: the log is bounded by its days (one more, as churn cuts by author date)."""
+    return churn(git_log(spark, root, path, limit=None, days=days + 1), days)

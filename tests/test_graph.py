@@ -121,6 +121,21 @@ def test_git(spark, tmp_path):
     assert [(r.line_number, r.author, r.content) for r in vcs.git_blame(spark, str(tmp_path), "f.txt").orderBy("line_number").collect()] == [(1, "A", "one"), (2, "A", "two")]
 
 
+def test_churn_counts_every_commit_of_the_window(spark, tmp_path):
+    import os
+
+    def git(*a, date=None):
+        env = os.environ | ({"GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date} if date else {})
+        subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@b", *a], cwd=tmp_path, check=True, capture_output=True, env=env)
+
+    git("init", "-q")
+    for i in range(64):
+        (tmp_path / "f.txt").write_text(str(i))
+        git("add", ".")
+        git("commit", "-qm", str(i), date="2001-01-01T00:00:00" if i in (0, 60) else None)
+    assert {r.file: r.churn for r in vcs.git_churn(spark, str(tmp_path)).collect()} == {"f.txt": 62}
+
+
 def test_diff_headers_rule_their_own_lines(spark):
     text = "diff --git a/x.py b/x.py\nnew file mode 1\n+++ b/x.py\n+def made():\ndiff --git a/y.py b/y.py\ndeleted file mode 1\n+++ /dev/null\n-class Gone:\n"
     assert {(r.file, r.symbol) for r in diff.parse(diff.lines_of(spark, text)).collect()} == {("x.py", "made"), ("y.py", "Gone")}
