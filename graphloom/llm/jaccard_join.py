@@ -1,38 +1,40 @@
 """Near-duplicate components by an exact n-gram Jaccard join over size-banded tiles with bitmap signatures.
 
-1. Exact copies of a text collapse into one. Shingles that repeat often inside a task of any kind are marked in a Bloom filter
-   of fixed size and come last in the global order of shingles (any one order is exact; a false mark is harmless).
+1. Exact copies of a text collapse into one. Shingles that repeat often are marked in a Bloom filter and come last in the global
+   order of shingles (any one order is exact; a false mark is harmless). At most HEAVY shingles are marked, the most frequent.
 2. Each text emits the first n - ceil(t n) + ceil(n / 10) shingles of its set. Two sets that reach the threshold share at least
    ceil(n / 10) of them for the smaller set's n, so texts with fewer shared ones drop out: texts that only share a passage.
 3. The rest meet in tiles, one per shared shingle. Inside a tile sets are ordered by size and a set is held against its band of
    sizes only (n_j <= n_i / t); bit counts of hashed bitmaps bound the overlap from above before sorted arrays are intersected.
    Each text first goes, with its set, to the tile of its smallest shared shingle, where links are exact.
 4. Then all tiles are gone through for pairs across components, first for the likeliest few of each two components, so that few
-   links merge them, in the end for every pair. A pair's shared emitted shingles are counted over its tiles: each emitted one that
-   it does not share lowers the bound, also where long sets fill the bitmaps. Only pairs that both bounds leave are verified on
-   the sets. Members of one component are never paired, so a large group costs no pairs; tiles beyond BLOCK members are cut into
-   pairs of blocks.
+   links merge them, in the end for every pair. There a tile is a shingle and a band of sizes, in which a set meets those of its
+   own band and of the one below. A pair's shared emitted shingles are counted over its tiles: each emitted one that it does not
+   share lowers the bound, also where long sets fill the bitmaps. Only pairs that both bounds leave are verified on the sets.
+   Members of one component are never paired, so a large group costs no pairs; tiles beyond BLOCK members are cut into pairs of
+   blocks.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.substring_dedup import _cat, _local
-from graphloom.llm.textkit import BASES, RID, ROW, SPACED, Piece, exchanges_freed, mix, numbered, pieces, ragged, scratch, span_hash, stored
+from graphloom.llm.substring_dedup import repeats
+from graphloom.llm.textkit import RID, ROW, SPACED, Held, Piece, arrow_task, delete, exchanges_freed, hot_join, mix, numbered, pieces, ragged, row_text, scratch, stored, window_hash
 
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 20  # of the sets that meet at once in a home tile
 FREQUENT = 64
-BLOOM_BITS = 1 << 23
+HEAVY = 1 << 22
 WORDS64 = 32  # of a bitmap
 PAIRS = 1 << 15  # whose bitmaps are compared at a time
 NEAR = 2  # partners of a text in another component and tile, in the first round
@@ -43,9 +45,13 @@ def _sets(piece: Piece, k: int, heavy: np.ndarray | None = None) -> tuple[np.nda
     """Distinct shingles in order within each text, the text of each, and the size of each set."""
     words, n = piece.words(), piece.n_words
     at = np.flatnonzero(np.arange(len(words)) + k <= piece.last())
-    short = np.flatnonzero((n > 0) & (n < k))
-    h = np.concatenate([span_hash(words, at, at + k, BASES[1]), span_hash(words, piece.first[short], piece.first[short] + n[short], BASES[1])])
-    doc = np.concatenate([piece.doc[at], short])
+    hashes, docs = [window_hash(words, k)[at]], [piece.doc[at]]
+    for size in range(1, k):
+        short = np.flatnonzero(n == size)
+        if len(short):
+            hashes.append(window_hash(words, size)[piece.first[short]])
+            docs.append(short)
+    h, doc = np.concatenate(hashes), np.concatenate(docs)
     order = np.lexsort((h, doc) if heavy is None else (h, _marked(heavy, h), doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -55,63 +61,86 @@ def _sets(piece: Piece, k: int, heavy: np.ndarray | None = None) -> tuple[np.nda
 
 
 def _marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = h & np.uint64(BLOOM_BITS - 1), (h >> np.uint64(23)) & np.uint64(BLOOM_BITS - 1)
-    test = lambda i: (bits[i >> np.uint64(6)] >> (i & np.uint64(63))) & np.uint64(1) > 0
-    return test(one) & test(two)
+    last = np.uint64(len(bits) * 64 - 1)
+    test = lambda i: (bits[(i & last) >> np.uint64(6)] >> (i & np.uint64(63))) & np.uint64(1) > 0
+    return test(h) & test(h >> np.uint64(32))
 
 
 def _frequent(text: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_sets(p, k)[0] for b in batches for p in pieces(pc.struct_field(b.column("row"), text), SPACED, lower=True)]
-        h, n = np.unique(_cat(parts, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(held.take()[0], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
-    return run
+        held = Held(np.uint64)
+        for batch in batches:
+            for piece in pieces(row_text(batch, text), SPACED, lower=True):
+                if held.add(_sets(piece, k)[0]):
+                    yield counted()
+        yield counted()
+
+    return arrow_task(run)
+
+
+def _marks(often: DataFrame) -> np.ndarray:
+    """A Bloom filter of the most frequent shingles (h, n), HEAVY at most: 16 to 32 bits for each of them."""
+    sizes = {r["k"]: r["count"] for r in often.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}  # 64 rows at most
+    least, count = 64, 0
+    while least > math.log2(FREQUENT) and count + sizes.get(least - 1, 0) <= HEAVY:
+        least -= 1
+        count += sizes.get(least, 0)
+    bits = max(16, (16 * max(1, count) - 1).bit_length())
+    last = (1 << bits) - 1
+    place = F.explode(F.array(F.col("h").bitwiseAND(F.lit(last)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(last))))
+    often = often.filter(F.col("n") >= max(FREQUENT, 2.0**least)).select(place.alias("i"))
+    masks = often.select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    out = np.zeros((last + 1) // 64, np.uint64)
+    for r in masks.toLocalIterator():  # 2 * HEAVY rows at most
+        out[r["w"]] = np.uint64(r["m"] & (2**64 - 1))
+    return out
 
 
 def _ceil(a: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-a * num // den)
 
 
-def _postings(text: str, k: int, percent: int, heavy: np.ndarray):
+def _postings(text: str, k: int, percent: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, rids, sizes, meta = [], [], [], []
+        def keyed() -> pa.RecordBatch:
+            h, rid, n, meta = held.take()
+            own = mix(rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(h), dtype=np.uint64))
+            known, first = repeats(np.where(meta, own, h))
+            key = np.where(first & ~meta, h, own)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.where(key == h, np.uint64(0), h).view(np.int64)), pa.array(rid), pa.array(n.astype(np.int32)), pa.array(known & ~meta), pa.array(meta)], names=["key", "other", "rid", "n", "known", "meta"])
+
+        held = Held(np.uint64, np.int64, np.int64, bool)
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for piece in pieces(pc.struct_field(batch.column("row"), text), SPACED, lower=True):
-                h, doc, n = _sets(piece, k, heavy)
+            for piece in pieces(row_text(batch, text), SPACED, lower=True):
+                h, doc, n = _sets(piece, k, heavy.value)
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 take = rank < (n - _ceil(n, percent, 100) + _ceil(n, 1, 10))[doc]
                 own = rid[piece.rows]
-                hs += [h[take], np.zeros(len(piece), np.uint64)]
-                rids += [own[doc[take]], own]
-                sizes += [n[doc[take]], n]
-                meta += [np.zeros(int(take.sum()), bool), np.ones(len(piece), bool)]
-        h, rid, n, meta = _cat(hs, np.uint64), _cat(rids), _cat(sizes), _cat(meta, bool)
-        if not len(h):
-            return
-        own = mix(rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(h), dtype=np.uint64))
-        known, first = _local((np.where(meta, own, h),))
-        key = np.where(first & ~meta, h, own)
-        for lo in range(0, len(h), 1 << 18):
-            p = slice(lo, lo + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(key[p].view(np.int64)), pa.array(np.where(key[p] == h[p], np.uint64(0), h[p]).view(np.int64)), pa.array(rid[p]), pa.array(n[p].astype(np.int32)), pa.array(known[p] & ~meta[p]), pa.array(meta[p])], names=["key", "other", "rid", "n", "known", "meta"])
+                held.add(np.zeros(len(piece), np.uint64), own, n, np.ones(len(piece), bool))
+                if held.add(h[take], own[doc[take]], n[doc[take]], np.zeros(int(take.sum()), bool)):
+                    yield keyed()
+        yield keyed()
 
-    return run
+    return arrow_task(run)
 
 
 def _set_rows(text: str, k: int, bitmaps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(pc.struct_field(batch.column("row"), text), SPACED, lower=True):
+            for piece in pieces(row_text(batch, text), SPACED, lower=True):
                 h, doc, n = _sets(piece, k)
                 stop = np.cumsum(n)
                 each = [h[b - c : b] for c, b in zip(n.tolist(), stop.tolist())]
                 data = [_bitmap(x).tobytes() if bitmaps else x.tobytes() for x in each]
-                rest = [batch.column(c).slice(piece.rows.start, len(piece)) for c in batch.schema.names if c != "row"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], names=[*(c for c in batch.schema.names if c != "row"), "n", "data"])
+                rest = [c for c in batch.schema.names if c != ROW]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(piece.rows.start, len(piece)) for c in rest), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], names=[*rest, "n", "data"])
 
-    return run
+    return arrow_task(run)
 
 
 def _bitmap(h: np.ndarray) -> np.ndarray:
@@ -181,7 +210,7 @@ def _exact_tile(percent: int):
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return run
+    return arrow_task(run)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -205,11 +234,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Tab
 
 def _likely_pairs(percent: int, most_each: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in _runs(batches, 3):
+        for table, group in _runs(batches, 4):
             n = table.column("n").to_numpy().astype(np.int64)
             order = np.lexsort((n, group))
             n, group = n[order], group[order]
-            rid, part, own, one, other = (table.column(c).to_numpy()[order] for c in ("rid", "part", "own", "i", "j"))
+            rid, part, own, one, other, visits = (table.column(c).to_numpy()[order] for c in ("rid", "part", "own", "i", "j", "visits"))
             bits = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64).reshape(-1, WORDS64)[order]
             lack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
             stop = np.searchsorted((group << 32) + n, (group << 32) + n * 100 // percent, "right")
@@ -220,7 +249,7 @@ def _likely_pairs(percent: int, most_each: int | None):
                 hi = max(lo + 1, int(np.searchsorted(until, until[lo] - counts[lo] + PAIRS, "right")))
                 i, j = np.repeat(np.arange(lo, hi), counts[lo:hi]), ragged(counts[lo:hi], np.arange(lo, hi) + 1)
                 lo = hi
-                apart = (part[i] != part[j]) & ((one[i] == other[i]) | (own[i] != own[j]))
+                apart = (part[i] != part[j]) & ((one[i] == other[i]) | (own[i] != own[j])) & ~((visits[i] > 0) & (visits[j] > 0))
                 i, j = i[apart], j[apart]
                 # Each bit that only one has is an element that the other lacks.
                 both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
@@ -239,7 +268,7 @@ def _likely_pairs(percent: int, most_each: int | None):
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rid[i], rid[j], part[i], part[j], n[i], n[j], most)], names=PAIR_COLUMNS)
 
-    return run
+    return arrow_task(run)
 
 
 PAIR_COLUMNS = ["a", "b", "part_a", "part_b", "n_a", "n_b", "most"]
@@ -275,7 +304,7 @@ def _verified(percent: int):
                 ok.append(bool(_reaches(np.intersect1d(s, t, True).size, len(s), len(t), percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return arrow_task(run)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -299,12 +328,35 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("rid"), F.col("v").alias("part")).union(edges.select("v", "v").distinct())
 
 
-def _bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, dealt into buckets by key, and the table's name: joins on the key leave its rows where they are."""
-    spark, name = df.sparkSession, f"graphloom_{uuid.uuid4().hex}"
-    with exchanges_freed(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", f"{scratch(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), name
+class Bucketed:
+    """A table in the shared folder, dealt into buckets by key: joins on the key leave its rows where they are. Gone after the `with`."""
+
+    def __init__(self, df: DataFrame, key: str):
+        self.df, self.key, self.spark = df, key, df.sparkSession
+        self.name = f"graphloom_{uuid.uuid4().hex}"
+        self.path = f"{scratch(self.spark)}/{self.name}"
+
+    def __enter__(self) -> DataFrame:
+        with exchanges_freed(self.spark):
+            self.df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.key).format("parquet").option("path", self.path).saveAsTable(self.name)
+        return self.spark.table(self.name)
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def _tiles(marked: DataFrame, percent: int) -> DataFrame:
+    """marked (h, rid, n, part) as members of tiles (h, band) that hold sets of several components, with the number of blocks.
+
+    Sets that can link differ by a factor of 100 / percent at most, so by one band at most: a set is a member of its own band's tile
+    and a visitor in the tile above. The width is a little more than the factor, so that rounding cannot part two bands.
+    """
+    width = max(math.log(100 / percent), 0.01) * 1.000001
+    band = F.floor(F.log("n") / width).cast("long")
+    rows = marked.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("h", (band + F.col("v")).alias("band"), "rid", "part", F.col("v").cast("long").alias("visits"))
+    mixed = rows.groupBy("h", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("visits").alias("own"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    return rows.join(mixed.filter("lo < hi and own = 0").select("h", "band", "blocks"), ["h", "band"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -319,58 +371,61 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     only travel inside ROW.
     """
     spark = docs.sparkSession
-    base = numbered(docs).select(F.col(RID).alias("rid"), F.col(ROW).alias("row"))
-    body = F.coalesce(F.col("row").getField(text), F.lit(""))
-    keyed = base.select("rid", F.col("row").getField(id_col).alias("id"), F.md5(body.cast("binary")).alias("copy"))
-    groups = keyed.groupBy("copy").agg(F.min("rid").alias("head"))
-    about = stored(keyed.join(groups, "copy").select("rid", "id", "head"), "about")
-    heads, table = _bucketed(base.select("rid", F.struct(F.col("row").getField(text).alias(text)).alias("row")).join(about.filter("rid = head").select("rid").hint("shuffle_hash"), "rid"), "rid")
-
-    local = base.select("row").mapInArrow(_frequent(text, shingle), "h long, n long")
-    often = local.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    place = F.explode(F.array(F.col("h").bitwiseAND(BLOOM_BITS - 1), F.shiftrightunsigned("h", 23).bitwiseAND(BLOOM_BITS - 1)))
-    masks = often.select(place.alias("i")).select(F.shiftright("i", 6).alias("w"), F.expr("shiftleft(1L, cast(i & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    heavy = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for r in masks.collect():  # BLOOM_BITS / 64 rows at most
-        heavy[r["w"]] = np.uint64(r["m"] & (2**64 - 1))
-
-    posted = heads.select("rid", "row").mapInArrow(_postings(text, shingle, percent, heavy), "key long, other long, rid long, n int, known boolean, meta boolean")
+    base = numbered(docs).withColumnRenamed(RID, "rid")
+    copy = F.unhex(F.md5(F.coalesce(F.col(ROW).getField(text), F.lit("")).cast("binary")))
+    keyed = base.select("rid", F.col(ROW).getField(id_col).alias("id"), copy.alias("copy"))
+    # One row for each different text: its first row, how many there are, their smallest id and which of them would be kept.
+    texts = stored(keyed.groupBy("copy").agg(F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min("id").alias("id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best")), "texts")
+    heads = base.select("rid", F.struct(F.col(ROW).getField(text).alias(text)).alias(ROW)).join(texts.select("rid").hint("shuffle_hash"), "rid")
+    with Bucketed(heads, "rid") as heads:
+        parts, sizes = _components(heads, base, text, shingle, percent)
+    # A text without shingles links with nothing, not even with its copies: each row of it is a component of its own.
+    told = texts.join(sizes, "rid").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    told = stored(told.select("copy", "copies", "n_shingles", "part", "id", "best"), "told")
+    first = stored(told.groupBy("part").agg(F.min("id").alias("component_id"), F.min("best")["rid"].alias("kept"), F.count("*").alias("weight")), "first")
+    n_texts = told.count()
+    whole = stored(hot_join(told.select("copy", "copies", "n_shingles", "part"), first, "part", "weight", n_texts).select("copy", "copies", "n_shingles", "component_id", "kept"), "whole")
+    rows = base.select("rid", F.col(ROW), copy.alias("copy"))
+    total = texts.agg(F.sum("copies")).first()[0] or 0
+    out = hot_join(rows, whole, "copy", "copies", total)
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col(ROW).getField(id_col)).otherwise(F.col("component_id"))
+    return out.select(ROW, "n_shingles", component.alias("component_id"), (alone | (F.col("rid") == F.col("kept"))).alias("keeper"))
+
+
+def _components(heads: DataFrame, base: DataFrame, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rid, part) of the texts that have links, and (rid, n_shingles) of all. heads: rid and ROW, one row for each different text."""
+    local = base.select(ROW).mapInArrow(_frequent(text, shingle), "h long, n long")
+    heavy = heads.sparkSession.sparkContext.broadcast(_marks(stored(local.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "often")))
+
+    posted = heads.select("rid", ROW).mapInArrow(_postings(text, shingle, percent, heavy), "key long, other long, rid long, n int, known boolean, meta boolean")
     shared = posted.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("meta or known or c > 1")
     shared = stored(shared.select(F.when(F.col("other") == 0, F.col("key")).otherwise(F.col("other")).alias("h"), "rid", "n", "meta"), "shared")
-    sizes, tiles = shared.filter("meta").select("rid", "n"), shared.filter("not meta").select("h", "rid", "n")
+    sizes, tiles = shared.filter("meta").select("rid", F.col("n").cast("long").alias("n_shingles")), shared.filter("not meta").select("h", "rid", "n")
 
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
-    likely = stored(tiles.groupBy("rid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("h").alias("home")).filter(F.col("c") >= least).select("rid", "home"), "likely")
-    blocks = likely.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
-    homes = likely.join(blocks, "home", "left").select("rid", "home", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).alias("block"))
-    placed = heads.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", "row").mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
+    likely = stored(tiles.groupBy("rid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("h").alias("home")).filter(F.col("c") >= least).select("rid", "home", "n"), "likely")
+    # A bitmap and what goes with it take the room of some 64 shingles.
+    blocks = likely.groupBy("home").agg(F.ceil(F.sum(F.col("n") + 64) / BLOCK_SHINGLES).alias("blocks")).filter("blocks > 1")
+    homes = likely.select("rid", "home").join(blocks, "home", "left").select("rid", "home", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    placed = heads.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", ROW).mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
     links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
 
     tiles = tiles.join(likely.select("rid"), "rid", "left_semi")
     for most_each, best in ((NEAR, BEST), (None, None)):
         parts = components(links)
-        marked = tiles.join(parts, "rid", "left").select("h", "rid", F.coalesce("part", "rid").alias("part"))
-        mixed = marked.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("lo < hi").select("h", "blocks")
-        members = stored(marked.join(mixed, "h"), "members")
+        marked = tiles.join(parts, "rid", "left").select("h", "rid", "n", F.coalesce("part", "rid").alias("part"))
+        members = stored(_tiles(marked, percent), "members")
         if members.isEmpty():
-            break
-        bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
+            return parts, sizes
+        bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", ROW).mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
         own = members.join(bitmaps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-        spread = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "n", "data")
-        pairs = spread.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_likely_pairs(percent, most_each), ", ".join(f"{c} long" for c in PAIR_COLUMNS))
+        cut = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "visits", "n", "data")
+        keys = ("h", "band", "i", "j")
+        pairs = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely_pairs(percent, most_each), ", ".join(f"{c} long" for c in PAIR_COLUMNS))
         pairs = stored(_promising(pairs, percent, best), "pairs")
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        sets = heads.join(ends.hint("shuffle_hash"), "rid").select("rid", "row").mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
+        sets = heads.join(ends.hint("shuffle_hash"), "rid").select("rid", ROW).mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
         both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("data").alias("y")), "b")
-        more = stored(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links")
-        links = links.union(more)
-    else:
-        parts = components(links)
-
-    spark.sql(f"DROP TABLE {table}")  # nothing below reads it; the files stay as those of other stored tables do
-    whole = about.join(sizes.select(F.col("rid").alias("head"), F.col("n").cast("long").alias("n_shingles")), "head").join(parts.select(F.col("rid").alias("head"), "part"), "head", "left")
-    whole = whole.withColumn("part", F.when(F.col("n_shingles") == 0, F.col("rid")).otherwise(F.coalesce("part", "head")))
-    whole = stored(whole.select("rid", "id", "n_shingles", "part"), "members")
-    first = whole.groupBy("part").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("kept"))
-    told = whole.join(first, "part").select("rid", "n_shingles", "component_id", (F.col("rid") == F.col("kept")).alias("keeper"))
-    return base.select("rid", F.col("row").alias(ROW)).join(told.hint("shuffle_hash"), "rid").select(ROW, "n_shingles", "component_id", "keeper")
+        links = links.union(stored(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links"))
+    return components(links), sizes

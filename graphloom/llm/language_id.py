@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import BASES, ROW, flat, mix, numbered, ragged, row_text, span_hash
+from graphloom.llm.textkit import PIECE_BYTES, ROW, arrow_task, flat, mix, ragged, row_text, whole_rows, word_hash
 
 ORDER = 4
-_END, _START = 1, 2
+_END, _START, _UNKNOWN = 1, 2, 3
+_MOST_LETTERS = 65_000
 
 
 @lru_cache(maxsize=1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For code points: whether it is a letter, and its lower case (where that is one code point)."""
-    chars = [chr(i) for i in range(0x32000)]
+    chars = [chr(i) for i in range(0x32400)]  # no letters come later, and the last of these is none
     low = [c.lower() for c in chars]
     return np.array([c.isalpha() for c in chars]), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
 
@@ -48,13 +49,13 @@ def _words(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return lower[small], start, end, np.searchsorted(edge, start, "right") - 1
 
 
-def _grams(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each letter and end of the words the n-grams of order 1 to ORDER that it ends, and the word of each."""
+def _grams(letter: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each letter (16-bit numbers) and end of the words the n-grams of order 1 to ORDER that it ends, and the word of each."""
     size = end - start
     block = size + ORDER  # starts, letters, end
     first = np.cumsum(block) - block
     padded = np.full(int(block.sum()), _START, np.uint64)
-    padded[ragged(size, first + ORDER - 1)] = code[ragged(size, start)] & 0xFFFF
+    padded[ragged(size, first + ORDER - 1)] = letter[ragged(size, start)]
     padded[first + block - 1] = _END
     at = ragged(size + 1, first + ORDER - 1)
     out, gram = [], np.zeros(len(at), np.uint64)
@@ -70,12 +71,15 @@ class Model:
     def __init__(self, texts: list[str], langs: list[str]):
         with_letters = {x for t, x in zip(texts, langs) if any(c.isalpha() for c in t)}
         self.langs = sorted(with_letters)
-        counts = []  # per language: (n-grams of the highest order, their counts)
+        split = []
         for lang in self.langs:
             data = [t.encode() for t, x in zip(texts, langs) if x == lang]
-            at = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-            code, start, end, _ = _words(b"".join(data), at)
-            counts.append(np.unique(_grams(code, start, end)[0][-1], return_counts=True))
+            split.append(_words(b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]))[:3])
+        #: Code points that the texts have, the most frequent if there are too many; all others are one unknown letter.
+        seen, often = np.unique(np.concatenate([c[ragged(b - a, a)] for c, a, b in split]), return_counts=True) if split else (np.zeros(0, np.uint32), np.zeros(0))
+        self.alphabet = np.sort(seen[np.argsort(-often, kind="stable")][:_MOST_LETTERS])
+        # Per language: n-grams of the highest order, and their counts.
+        counts = [np.unique(_grams(self._numbers(code), start, end)[0][-1], return_counts=True) for code, start, end in split]
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
         self.scale, self.limit = 1.0, np.full(len(self.langs), np.inf)
         if not self.langs:
@@ -109,6 +113,11 @@ class Model:
             if n:
                 self._store(self.contexts, self.weights, contexts, np.log(np.maximum(weights, 1e-12)))
 
+    def _numbers(self, code: np.ndarray) -> np.ndarray:
+        """Letters as numbers below 2 ** 16."""
+        at = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == code, at + _UNKNOWN + 1, _UNKNOWN).astype(np.uint64)
+
     @staticmethod
     def _store(keys: list, values: list, key: np.ndarray, value: np.ndarray) -> None:
         hashed = mix(key)
@@ -142,7 +151,7 @@ class Model:
 
     def _words(self, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
-        grams, word = _grams(code, start, end)
+        grams, word = _grams(self._numbers(code), start, end)
         at, hit = self._find(self.grams[0], grams[0])
         logs = np.where(hit[:, None], self.logs[0][at], self.floor.astype(np.float32))
         for n in range(1, ORDER):
@@ -160,7 +169,7 @@ class Model:
         out = np.zeros((n, len(self.langs)))
         if not len(start):
             return out, size
-        hashed = span_hash(mix(code.astype(np.uint64)), start, end, BASES[0])
+        hashed = word_hash(code.view(np.uint8), 4 * start, 4 * end)
         _, index, which = np.unique(hashed, return_index=True, return_inverse=True)
         words = self._words(code, start[index], end[index])
         size = np.bincount(doc, weights=end - start + 1, minlength=n)
@@ -204,13 +213,15 @@ class Model:
 
 
 def _sample(docs: DataFrame, text: str, lang: str, id_col: str, most: int) -> list:
-    """At most `most` texts of each language, chosen by a hash of the id; whole texts."""
+    """At most `most` texts of each language, chosen by a hash of id and text; whole texts."""
     sizes = docs.groupBy(F.col(lang).alias("l")).count().collect()  # a row for each language
     share = F.lit(0.0)
     for r in sizes:
         share = F.when(F.col(lang) == r["l"], F.lit(min(1.0, 1.5 * most / r["count"]))).otherwise(share)
-    rank = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.filter(F.pmod(rank, F.lit(1_000_000)) < share * 1_000_000).select(F.col(text).alias("t"), F.col(lang).alias("l"), rank.alias("k")).collect()  # 1.5 * most rows a language, more or less
+    rank = F.xxhash64(F.col(id_col).cast("string"), F.col(text))
+    place = F.shiftrightunsigned(rank, 11) / F.lit(float(1 << 53))
+    # 1.5 * most rows a language, more or less; the limit holds where one row is repeated very often.
+    rows = docs.filter(place < share).select(F.col(text).alias("t"), F.col(lang).alias("l"), rank.alias("k")).limit(4 * most * max(1, len(sizes))).collect()
     out: dict = {}
     for r in sorted(rows, key=lambda r: (r["k"], r["t"])):
         out.setdefault(r["l"], []).append((r["t"], r["l"]))
@@ -234,12 +245,12 @@ def _predictions(model, text: str):
             buf, at = flat(row_text(batch, text))
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20), "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE_BYTES, "right")) - 1)
                 lang, score, rejected = m.predict(buf[at[lo] : at[hi]].tobytes(), at[lo : hi + 1] - at[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[ROW, "lang_pred", "score", "rejected"])
                 lo = hi
 
-    return run
+    return arrow_task(run)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -250,4 +261,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     inside ROW. The model is broadcast; its size is bounded by the number of sampled texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return numbered(docs).select(ROW).mapInArrow(_predictions(shared, text), f"{ROW} {docs.schema.simpleString()}, lang_pred string, score double, rejected boolean")
+    return whole_rows(docs).mapInArrow(_predictions(shared, text), f"{ROW} {docs.schema.simpleString()}, lang_pred string, score double, rejected boolean")

@@ -1,11 +1,14 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Documents are dealt first, so that the mixture does not depend on how the table is written or sorted: each gets a random place
-among the texts of its source, by a hash of its row's number, and the places of all sources are laid out along one line at the
-pace of the mixture, until a source ends. A task takes an equal stretch of that line, in its order. It then tokenizes and packs
-in one pass and holds a queue for every source. A window of max_tokens credits each source with its share of the window; the
-source with the largest deficit is served from the head of its queue, at most one quantum at a visit, and pays for it. Deficits,
-also negative ones, carry over to the next window.
+1. Documents are tokenized where they are read and kept as ids, so that all lengths are known exactly.
+2. They are dealt so that the mixture does not depend on how the table is written or sorted: each gets a random place among the texts
+   of its source, by a hash of its row's number, and the places of all sources are laid out along one line at the pace of the
+   mixture, until a source ends. A partition takes an equal stretch of that line, in its order.
+3. A partition holds a queue for every source. A window of max_tokens credits each source with its share of the window; the source
+   with the largest deficit is served from the head of its queue, at most one quantum at a visit, and pays for it. Deficits, also
+   negative ones, carry over to the next window and to the next partition: a partition packs all it has, so what a source is
+   owed when it begins is its share of all tokens in the partitions before, less its own tokens there. These sums are
+   one row for each partition and source, and come to a partition as its first rows.
 """
 
 from __future__ import annotations
@@ -18,20 +21,17 @@ from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import BASES, LOWER, RID, ROW, Piece, numbered, pieces, ragged, row_text
+from graphloom.llm.textkit import BASES, FULL, LOWER, RID, ROW, Piece, arrow_task, numbered, pieces, ragged, row_text, stored, worker_slot
 
 #: Tokens that wait in a task's queues before windows are filled; more of them keep windows closer to the target.
 LOOKAHEAD = 1 << 18
 QUANTUM = 2048
-CACHE_WORDS = 1_500_000  # units, looked at between pieces
+CACHE_WORDS = 400_000  # units, looked at between pieces
 #: By byte: marks that may follow a word's letters, ASCII letters, second bytes of the Latin letters that begin with C3.
 MARK, LETTER, LATIN = (np.isin(np.arange(256), list(chars)) for chars in (b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~", ascii_letters.encode(), {*range(0x80, 0xC0)} - {0x97, 0xB7}))
-#: Masks of the first n bytes of eight.
-FULL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Units:
@@ -212,38 +212,33 @@ class WordTokenizer:
             yield ids[a:b]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 class Packer:
-    """Windows of one task. share: target proportion of each source."""
+    """Windows of one partition. Sources have a number each, with their share, what they are owed and a queue."""
+
+    def __init__(self, size: int, first_id: int):
+        self.size, self.next_id, self.waiting = size, first_id, 0
+        self.numbers: dict = {}
+        self.share, self.owed, self.queues = np.zeros(0), np.zeros(0), []
+        self.full = np.zeros(0, bool)  # queues that are not empty
 
-    def __init__(self, share: dict, size: int, first_id: int):
-        self.share, self.owed, self.size, self.next_id = share, {}, size, first_id
-        self.queues: dict = {}
-        self.waiting = 0
+    def credit(self, source, share: float, owed: float) -> None:
+        self.numbers[source] = len(self.queues)
+        self.queues.append(deque())
+        self.share, self.owed, self.full = np.append(self.share, share), np.append(self.owed, owed), np.append(self.full, False)
 
     def put(self, source, doc, ids: bytes) -> None:
-        self.queues.setdefault(source, deque()).append([doc, ids, 0])
-        self.owed.setdefault(source, 0.0)
+        k = self.numbers[source]
+        self.queues[k].append([doc, ids, 0])
+        self.full[k] = True
         self.waiting += len(ids) // 4
 
     def window(self, size: int) -> Iterator[tuple]:
         """Fills one sequence of `size` tokens; the queues must hold as many."""
-        owed, room, last = self.owed, size, None
-        for s in owed:
-            owed[s] += self.share.get(s, 0.0) * size
-        pieces = []
+        self.owed += self.share * size
+        room, last, pieces = size, None, []
         while room:
-            source = max(self.queues, key=owed.__getitem__)
-            queue = self.queues[source]
-            item = queue[0]
+            k = int(np.where(self.full, self.owed, -np.inf).argmax())
+            item = self.queues[k][0]
             n = min(room, QUANTUM, len(item[1]) // 4 - item[2])
             if last is item:
                 pieces[-1][2] += n
@@ -252,11 +247,10 @@ class Packer:
                 last = item
             item[2] += n
             room -= n
-            owed[source] -= n
+            self.owed[k] -= n
             if item[2] * 4 == len(item[1]):
-                queue.popleft()
-                if not queue:
-                    del self.queues[source]
+                self.queues[k].popleft()
+                self.full[k] = bool(self.queues[k])
         self.waiting -= size
         for item, start, n, offset in pieces:
             doc, ids, _ = item
@@ -271,45 +265,70 @@ class Packer:
                 yield from self.window(1 << (self.waiting.bit_length() - 1))
 
 
-def _pack(text: str, source: str, path: str, size: int, end_id: int, share: dict):
+def _encode(text: str, path: str, end_id: int):
+    """Documents without their text but with their ids, of two bytes each where all fit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TaskContext.get().partitionId()
-        tokenizer, end = _tokenizer(path), np.array([end_id], "<u4").tobytes()
-        packer = Packer(share, size, index << 40)
+        tokenizer, end = worker_slot(path, lambda: WordTokenizer(path)), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            bare = _without(batch.column(ROW), text)
+            for piece in pieces(row_text(batch, text)):
+                each = [np.frombuffer(ids + end, "<u4") for ids in tokenizer.encode(piece)]
+                data = [(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in each]
+                lo = piece.rows.start
+                yield pa.RecordBatch.from_arrays([bare.slice(lo, len(piece)), batch.column("source").slice(lo, len(piece)), batch.column(RID).slice(lo, len(piece)), pa.array([len(x) for x in each], pa.int64()), pa.array(data, pa.binary())], names=[ROW, "source", RID, "n", "ids"])
+
+    return arrow_task(run, keep=path)
 
-        def out(rows: list[tuple], docs: list) -> pa.RecordBatch:
-            places = [r[0] for r in rows]
+
+def _pack(size: int):
+    """The rows of a partition come in this order: what its sources are owed, then its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, part, number = None, None, 0
+        held: dict[int, tuple[pa.Array, int]] = {}  # the row of each document that waits
+
+        def told(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = list(found)
+            if not rows:
+                return
+            arrays: dict[int, int] = {}
+            kept: list[pa.Array] = []
+            take, begin = [], 0
+            for r in rows:
+                array, i = held[r[0]]
+                if id(array) not in arrays:
+                    arrays[id(array)] = begin
+                    kept.append(array)
+                    begin += len(array)
+                take.append(arrays[id(array)] + i)
+            for r in rows:
+                if r[1] + r[2] == r[4]:
+                    held.pop(r[0], None)
             cols = list(zip(*rows))
-            kept = pa.concat_arrays(docs) if len(docs) > 1 else docs[0]
-            return pa.RecordBatch.from_arrays([kept.take(pa.array(places)), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[ROW, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(kept).take(pa.array(take)), *(pa.array(c, pa.int64()) for c in cols[1:])], names=[ROW, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        held: dict[int, pa.Array] = {}  # rows of documents that still wait, by number
-        number = 0
         for batch in batches:
-            sources = pa.compute.struct_field(batch.column(ROW), source).to_pylist() if source else [None] * batch.num_rows
-            bare = _without(batch.column(ROW), text)
-            for piece in pieces(row_text(batch, text)):
-                for i, ids in enumerate(tokenizer.encode(piece), piece.rows.start):
-                    packer.put(sources[i], number, ids + end)
-                    held[number] = bare.slice(i, 1)
-                    number += 1
+            parts, owed, share, sources, counts, data = (batch.column(c).to_pylist() for c in ("part", "owed", "share", "source", "n", "ids"))
+            rows = batch.column(ROW)
+            for i, p in enumerate(parts):
+                if p != part:
+                    if packer:
+                        yield from told(packer.fill(0))
+                    packer, part = Packer(size, p << 40), p
+                if data[i] is None:
+                    packer.credit(sources[i], share[i], owed[i])
+                    continue
+                ids = data[i] if len(data[i]) == 4 * counts[i] else np.frombuffer(data[i], "<u2").astype("<u4").tobytes()
+                packer.put(sources[i], number, ids)
+                held[number] = rows, i
+                number += 1
                 if packer.waiting >= 2 * LOOKAHEAD:
-                    yield from _rows(packer.fill(LOOKAHEAD), held, out)
-        yield from _rows(packer.fill(0), held, out)
+                    yield from told(packer.fill(LOOKAHEAD))
+        if packer:
+            yield from told(packer.fill(0))
 
-    def _rows(found: Iterator[tuple], held: dict, out) -> Iterator[pa.RecordBatch]:
-        rows, numbers = list(found), {}
-        if not rows:
-            return
-        for r in rows:
-            numbers.setdefault(r[0], len(numbers))
-        docs = [held[n] for n in numbers]
-        for r in rows:
-            if r[1] + r[2] == r[4]:
-                held.pop(r[0], None)
-        yield out([(numbers[r[0]], *r[1:]) for r in rows], docs)
-
-    return run
+    return arrow_task(run)
 
 
 def _without(rows: pa.StructArray, text: str) -> pa.StructArray:
@@ -317,24 +336,49 @@ def _without(rows: pa.StructArray, text: str) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.compute.struct_field(rows, f.name) for f in kept], fields=kept) if kept else rows
 
 
-def _placed(base: DataFrame, by: Column, total: dict, share: dict | None) -> DataFrame:
-    """base with __at: where on the line of all texts, in [0, 1), a document is read.
+_REST = object()
+
+
+def _placed(rows: DataFrame, share: dict | None) -> DataFrame:
+    """rows (source, n) with at: where on the line of all texts, in [0, 1), a document is read.
 
-    total: bytes of each source; share: target share of each source, None for the shares that the sources have.
+    share: target share of each source, None for the shares that the sources have.
     """
     u = F.xxhash64(RID).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     if not share:
-        return base.withColumn("__at", u)
+        return rows.withColumn("at", u)
+    known = F.lit(False)
+    for s in share:
+        known = known | F.col("source").eqNullSafe(F.lit(s))
+    by = F.when(known, F.struct("source"))
+    total = {r["s"]["source"] if r["s"] else _REST: r["n"] for r in rows.groupBy(by.alias("s")).agg(F.sum("n").alias("n")).collect()}  # a row for each source of the mixture, and one
     ends = {s: total[s] / w for s, w in share.items() if w > 0 and total.get(s)}
     last = max(ends.values(), default=0.0)
     clock = F.lit(last) + u  # sources without a share come after the others
     for s, end in ends.items():
-        clock = F.when(by.eqNullSafe(F.lit(s)), u * F.lit(end)).otherwise(clock)
-    within = lambda a, b: F.least(F.greatest(F.col("__clock") - F.lit(a), F.lit(0.0)), F.lit(b - a))
-    read, begin = within(last, last + 1) * F.lit(float(sum(b for s, b in total.items() if s not in ends))), 0.0
-    for end in sorted(set(ends.values())):  # bytes that all sources have been read by then
+        clock = F.when(F.col("source").eqNullSafe(F.lit(s)), u * F.lit(end)).otherwise(clock)
+    within = lambda a, b: F.least(F.greatest(F.col("clock") - F.lit(a), F.lit(0.0)), F.lit(b - a))
+    read, begin = within(last, last + 1) * F.lit(float(sum(n for s, n in total.items() if s not in ends))), 0.0
+    for end in sorted(set(ends.values())):  # tokens that all sources have been read by then
         read, begin = read + within(begin, end) * F.lit(sum(share[s] for s, e in ends.items() if e >= end)), end
-    return base.withColumn("__clock", clock).withColumn("__at", read / F.lit(float(max(1, sum(total.values())))))
+    return rows.withColumn("clock", clock).withColumn("at", read / F.lit(float(max(1, sum(total.values()))))).drop("clock")
+
+
+def _owed(rows: DataFrame, share: dict | None) -> DataFrame:
+    """(part, source, owed, share): what each source of a partition is owed when that begins. rows: part, source, n."""
+    sums = rows.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    whole = rows.groupBy("part").agg(F.sum("n").alias("all"))  # a row a partition
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = whole.select("part", before(Window.orderBy("part"), "all").alias("before"), F.sum("all").over(Window.partitionBy()).alias("total"))
+    if share:
+        part_of = F.lit(0.0)
+        for s, w in share.items():
+            part_of = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(w))).otherwise(part_of)
+    else:
+        part_of = F.sum("n").over(Window.partitionBy("source")) / F.col("total")
+    own = sums.join(whole.hint("shuffle_hash"), "part")
+    own = own.withColumn("share", part_of).withColumn("own", before(Window.partitionBy("source").orderBy("part"), "n"))
+    return own.select("part", "source", (F.col("share") * F.col("before") - F.col("own")).alias("owed"), "share")
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "source", max_tokens: int = 4096, end_id: int = 2, mixture: dict | None = None) -> DataFrame:
@@ -351,14 +395,17 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", source: str = "sou
     """
     base = numbered(docs)
     parts = max(1, base._jdf.queryExecution().toRdd().getNumPartitions())
-    body = F.coalesce(F.octet_length(F.col(ROW).getField(text)), F.lit(0)) + 1
     by = F.col(ROW).getField(source) if source in docs.columns else F.lit(None).cast("string")
-    total = {r["source"]: r["b"] for r in base.select(by.alias("source"), body.alias("b")).groupBy("source").agg(F.sum("b").alias("b")).collect()}  # a row a source
-    weights = dict(mixture) if mixture else total
-    share = {s: w / max(1e-12, sum(weights.values())) for s, w in weights.items()}
-    placed = _placed(base, by, total, share if mixture else None)
-    dealt = placed.repartitionById(parts, F.least(F.floor(F.col("__at") * parts), F.lit(parts - 1)).cast("int"))
-    dealt = dealt.sortWithinPartitions("__at", RID).select(ROW)  # else the order in which blocks are fetched would show
-    kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text) or f"`{text}`: string"
+    kind = docs.schema[source].dataType.simpleString() if source in docs.columns else "string"
+    row = "struct<" + (", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != text) or f"`{text}`: string") + ">"
+    encoded = stored(base.withColumn("source", by).mapInArrow(_encode(text, tokenizer, end_id), f"{ROW} {row}, source {kind}, {RID} long, n long, ids binary"), "ids")
+    share = {s: w / sum(mixture.values()) for s, w in mixture.items()} if mixture else None
+    part = F.least(F.floor(F.col("at") * parts), F.lit(parts - 1)).cast("int")
+    placed = _placed(encoded, share).withColumn("part", part)
+    owed = _owed(placed, share).select("part", F.lit(-1.0).alias("at"), F.lit(None).cast("long").alias(RID), "source", "owed", "share", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast(row).alias(ROW))
+    none = F.lit(None).cast("double")
+    rows = placed.select("part", "at", RID, "source", none.alias("owed"), none.alias("share"), "n", "ids", ROW).unionByName(owed)
+    # The order is that of a sort, else that in which blocks are fetched would show.
+    dealt = rows.repartitionById(parts, "part").sortWithinPartitions("part", "at", RID, F.hash("source"), "source")
     numbers = ", ".join(f"{c} long" for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    return dealt.mapInArrow(_pack(text, source if source in docs.columns else "", tokenizer, max_tokens, end_id, share), f"{ROW} struct<{kept}>, {numbers}")
+    return dealt.drop("at", RID).mapInArrow(_pack(max_tokens), f"{ROW} {row}, {numbers}")

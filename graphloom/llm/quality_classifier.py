@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import BASES, ROW, SPACED, Piece, mix, numbered, pieces, row_text
+from graphloom.llm.textkit import BASES, ROW, SPACED, Piece, arrow_task, mix, pieces, row_text, whole_rows
 
 BUCKETS = 1 << 17
 SAME_WORD = 0  # bucket of a word that follows itself
@@ -126,11 +126,14 @@ def _calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = 3000) -> Classifier:
-    """A classifier from at most about `most` labelled documents, chosen by a hash of the id; whole texts."""
+    """A classifier from at most `most` labelled documents, those with the smallest hashes of their ids; whole texts.
+
+    A repeated id counts once, with its largest label and its smallest text. Null ids and labels are left out.
+    """
     pairs = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("__y"))
-    share = min(1.0, most / max(1, pairs.count()))
-    chosen = pairs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(id_col), F.col(text).alias("__t")).join(chosen, id_col).select("__t", "__y", id_col).collect()  # `most` rows, more or less
+    chosen = pairs.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most)
+    texts = docs.select(F.col(id_col), F.col(text).alias("__t")).join(F.broadcast(chosen), id_col)  # `most` rows
+    rows = texts.groupBy(id_col, "__y").agg(F.min("__t").alias("__t")).collect()
     rows.sort(key=lambda r: (r[id_col], r["__t"] or ""))
     return fit([r["__t"] or "" for r in rows], [int(r["__y"]) for r in rows])
 
@@ -139,10 +142,10 @@ def _scores(model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for piece in pieces(row_text(batch, text), SPACED, most=1 << 20):
+            for piece in pieces(row_text(batch, text), SPACED, most=1 << 18):
                 yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(piece.rows.start, len(piece)), pa.array(m.score(piece))], names=[ROW, "score"])
 
-    return run
+    return arrow_task(run)
 
 
 def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
@@ -153,4 +156,4 @@ def score(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     BUCKETS floats.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return numbered(docs).select(ROW).mapInArrow(_scores(shared, text), f"{ROW} {docs.schema.simpleString()}, score double")
+    return whole_rows(docs).mapInArrow(_scores(shared, text), f"{ROW} {docs.schema.simpleString()}, score double")

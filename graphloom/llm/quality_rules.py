@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import ROW, SPACED, BASES, Lines, byte_hash, code_points, numbered, per_text, pieces, row_text, seen_before, span_hash
+from graphloom.llm.textkit import ROW, SPACED, Piece, arrow_task, equal_in_text, per_span, per_text, pieces, row_text, whole_rows, window_hash
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 _SYMBOLS = np.zeros(256, bool)
@@ -55,38 +55,45 @@ def _rules() -> dict[str, tuple[Column, Column]]:
 RULES = ("length", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "letters", "variety", "bare_words", "prose")
 
 
+_WHITE = b" \t\n\x0b\x0c\r"
+
+
+def _repeated_lines(piece: Piece) -> np.ndarray:
+    """For each text how many lines with a word equal an earlier one: bytes against bytes, no hash."""
+    raw, out = piece.buf.tobytes(), []
+    for a, b in zip(piece.at[:-1].tolist(), piece.at[1:].tolist()):
+        lines = [x for x in raw[a:b].split(b"\n") if x.strip(_WHITE)]
+        out.append(len(lines) - len(set(lines)))
+    return np.array(out, np.int64)
+
+
 def _features(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(row_text(batch, text), SPACED):
-                n, buf, doc = len(piece), piece.buf, piece.doc
-                place = np.repeat(np.arange(n), np.diff(piece.at))
-                lines = Lines(piece, buf)
-                at = np.flatnonzero(lines.full)
-                twice = seen_before(lines.doc[at], *(byte_hash(buf, lines.start[at], lines.end[at], k) for k in (0, 1)))
-                words, letters = piece.words(), np.concatenate([[0], np.cumsum(_LETTER[buf])])
-                has_letter = letters[piece.end] > letters[piece.start]
+                n, buf, doc, at = len(piece), piece.buf, piece.doc, piece.at
+                words, letters = piece.words(), np.zeros(len(buf) + 1, np.int32)
+                np.cumsum(_LETTER[buf], out=letters[1:])
+                bare = letters[piece.end] == letters[piece.start]
+                by_word, again = equal_in_text(doc, words)
                 begin = np.flatnonzero(np.arange(len(words)) + 8 <= piece.last())
-                window = span_hash(words, begin, begin + 8, BASES[1])
-                order = np.lexsort((window, doc[begin]))
-                same = np.zeros(len(order), bool)
-                same[1:] = (window[order][1:] == window[order][:-1]) & (doc[begin][order][1:] == doc[begin][order][:-1])
+                order, same = equal_in_text(doc[begin], window_hash(words, 8)[begin])
                 same[:-1] |= same[1:].copy()
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, begin[order[same]], 1)
-                np.add.at(edge, begin[order[same]] + 8, -1)
+                edge = np.zeros(len(words) + 1, np.int32)
+                edge[begin[order[same]]] += 1
+                edge[begin[order[same]] + 8] -= 1
                 figures = [
-                    piece.n_words, per_text(code_points(buf, piece.start, piece.end), doc, n), per_text(_SYMBOLS[buf], place, n), per_text(twice, lines.doc[at], n),
-                    per_text(np.cumsum(edge[:-1]) > 0, doc, n), lines.n_lines, per_text(_UPPER[buf], place, n), per_text(_LETTER[buf], place, n), per_text(~seen_before(doc, words), doc, n), per_text(~has_letter, doc, n),
+                    piece.n_words, per_span(piece.inside & ((buf & 0xC0) != 0x80), at), per_span(_SYMBOLS[buf], at), _repeated_lines(piece), per_text(np.cumsum(edge[:-1]) > 0, doc, n),
+                    per_span(buf == 10, at) + 1, per_span(_UPPER[buf], at), np.diff(letters[at]), per_text(~again, doc[by_word], n), per_text(bare, doc, n),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(piece.rows.start, n), *(pa.array(x.astype(np.int64)) for x in figures)], names=[ROW, *FEATURES])
 
-    return run
+    return arrow_task(run)
 
 
 def text_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as column ROW with one column for each of FEATURES."""
-    return numbered(docs).select(ROW).mapInArrow(_features(text), f"{ROW} {docs.schema.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES))
+    return whole_rows(docs).mapInArrow(_features(text), f"{ROW} {docs.schema.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES))
 
 
 def vote_code() -> Column:

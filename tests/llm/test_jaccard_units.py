@@ -10,8 +10,8 @@ from graphloom.llm.jaccard_join import PAIR_COLUMNS, _bitmap, _likely_pairs
 def _tile(sets: list[np.ndarray], parts: list[int]) -> pa.RecordBatch:
     zero = pa.array([0] * len(sets), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [zero, zero, zero, pa.array(range(len(sets)), pa.int64()), pa.array(parts, pa.int64()), zero, pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())],
-        names=["h", "i", "j", "rid", "part", "own", "n", "data"],
+        [zero, zero, zero, zero, pa.array(range(len(sets)), pa.int64()), pa.array(parts, pa.int64()), zero, zero, pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())],
+        names=["h", "band", "i", "j", "rid", "part", "own", "visits", "n", "data"],
     )
 
 

@@ -60,15 +60,24 @@ def test_lines(spark, odd):
 
 
 def test_line_runs_compact_and_anti_join(spark):
-    runs = LineRuns(spark, fanout=2)
     batches = [table(spark, [f"line number {i} of batch {b}" if i else "held by all" for i in range(4)]) for b in range(5)]
-    for b, docs in enumerate(batches):
-        keys = line_keys(docs, "text", "doc_id", 1)
-        assert runs.new_lines(keys).count() == (4 if b == 0 else 3)
-        runs.add(keys)
-        assert all(len(level) < 2 for level in runs.levels)
-    merged = runs.compact()
-    assert merged.count() == 16 and merged.agg(F.max("n_docs")).first()[0] == 5
+    with LineRuns(spark, fanout=2) as runs:
+        for b, docs in enumerate(batches):
+            keys = line_keys(docs, "text", "doc_id", 1)
+            assert runs.new_lines(keys).count() == (4 if b == 0 else 3)
+            runs.add(keys)
+            assert all(len(level) < 2 for level in runs.levels)
+            names = [n for level in runs.levels for n in level]
+            if len(names) > 1:  # runs meet where they are
+                plan = runs.merged(*names[:2])._jdf.queryExecution().executedPlan().toString()
+                assert "SortMergeJoin" in plan and "Exchange" not in plan
+            plan = runs.new_lines(keys.groupBy("h1", "h2").count())._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == len(names) and plan.count("Exchange hashpartitioning") == 1
+        fresh = [r for level in runs.held() for r in level.collect()]
+        assert len(fresh) == len(set(fresh)) == 16 and runs.merges > 2
+        total = runs.total()
+        assert total.count() == 16 and total.agg(F.max("n_docs")).first()[0] == 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("graphloom")]
 
 
 def test_quality(spark, odd):
@@ -96,8 +105,8 @@ def test_contamination(spark, odd):
     items = [(1, " ".join(long.split()[40:75]).upper()), (2, texts[6]), (2, texts[6]), (11, "of the"), (3, None), (4, ""), (None, " ".join(long.split()[90:103])), (5, "never seen words at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = expected(ids, texts, brute.contamination(texts, items))
-    for most in (100, 2):
-        out = find_contamination(table(spark, texts, ids), bench, block_items=most)
+    for most in (1 << 18, 30):
+        out = find_contamination(table(spark, texts, ids), bench, block_words=most)
         out = out.withColumn("n", F.size("items")).withColumn("sha", F.sha2(F.array_join("items", ","), 256)).withColumn("bad", F.col("n_hit") > 0)
         assert by_position(out, "n_words", "n_hit", "n", "sha", "bad") == want
     assert find_contamination(table(spark, texts, ids), bench.limit(0)).filter("n_hit > 0").count() == 0
