@@ -61,8 +61,8 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout, self.path = spark, fanout, scratch(spark)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, self.written, self.merges = f"graphloom_run_{uuid.uuid4().hex}", 0, 0
         self.levels: list[list[str]] = [[]]
-        self.merges = 0
 
     def __enter__(self) -> LineRuns:
         return self
@@ -71,13 +71,14 @@ class LineRuns:
         self.close()
 
     def close(self) -> None:
-        for name in (n for level in self.levels for n in level):
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for table in self.spark.sql(f"SHOW TABLES LIKE '{self.name}*'").collect():
+            self.spark.sql(f"DROP TABLE {table.tableName}")
         self.levels = [[]]
         delete(self.spark, self.path)
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"graphloom_run_{uuid.uuid4().hex}"
+        self.written += 1
+        name = f"{self.name}_{self.written}"
         with exchanges_freed(self.spark):
             rows.write.bucketBy(self.buckets, *_KEY).sortBy(*_KEY).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(name)
         self._level(level).append(name)

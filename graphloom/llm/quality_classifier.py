@@ -49,9 +49,7 @@ def _features(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[: len(step)][ok])
     buckets = (mix(np.concatenate(out)) % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
     again = np.flatnonzero((words[1:] == words[:-1]) & (doc[1:] == doc[:-1])) + 1
-    # It stands for the word and its n-grams, so it weighs as much as they do.
-    twice = np.repeat(doc[again], 20)
-    return np.concatenate([buckets, np.full(len(twice), SAME_WORD)]), np.concatenate([*owners, twice])
+    return np.concatenate([buckets, np.full(len(again), SAME_WORD)]), np.concatenate([*owners, doc[again]])
 
 
 class Classifier:

@@ -145,7 +145,7 @@ def score_quality(docs: DataFrame, text: str = "text", keep_at: float = 0.5) ->
     rows = figures.groupBy(vote_code().alias("code")).count().collect()  # at most 3 ** len(RULES) rows
     codes, counts = np.array([r["code"] for r in rows], int), np.array([r["count"] for r in rows], float)
     posterior = dict(zip(codes.tolist(), fit_votes(codes, counts).tolist()))
-    table = docs.sparkSession.createDataFrame([(k, round(v, 6)) for k, v in sorted(posterior.items())], "code int, posterior double")
+    table = docs.sparkSession.createDataFrame(pa.table({"code": pa.array(posterior.keys(), pa.int32()), "posterior": pa.array([round(v, 6) for v in posterior.values()], pa.float64())}))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = figures.withColumn("code", vote_code()).join(F.broadcast(table), "code", "left").withColumn("base_failed", base)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at)).select(ROW, *FEATURES, "base_failed", "posterior", "kept")

@@ -317,7 +317,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     names = sorted(r[0] for r in place.select("__file").distinct().collect())  # a row a file
     if len(names) <= 1:
         return place.select(ROW, F.col("__index").alias(RID))
-    files = spark.createDataFrame(list(enumerate(names)), "__n long, __file string")
+    files = spark.createDataFrame(pa.table({"__n": range(len(names)), "__file": names}))  # Arrow tables get to executors without Python
     return place.join(F.broadcast(files), "__file").select(ROW, (F.shiftleft("__n", 40) + F.col("__index")).alias(RID))
 
 

@@ -64,8 +64,40 @@ def test_shards(spark):
             parent = [i for i, d in enumerate(ids) if r["depth"] and hashes[d] >> (61 - r["depth"]) == r["prefix"] >> 1]
             assert not r["depth"] or sum(len(texts[i] or "") for i in parent) > limit
     assert assign_shards(table(spark, ["a"]).filter("doc_id < 0"), 10).count() == 0
-    twice = assign_shards(table(spark, ["z" * 30] * 3, [5, 5, 5]), 40).collect()
-    assert {r["shard"] for r in twice} == {"s"} and all(r["oversize"] for r in twice)
+
+
+def test_shards_of_one_key(spark):
+    """Half of all rows have one key, some of them are equal, one alone is over the limit; and a third has no key."""
+    texts = ["z" * 30] * 60 + ["y" * (i % 40) for i in range(40)] + ["x" * 700] + ["w" * 25] * 50
+    ids = [5] * 101 + [None] * 40 + list(range(10))
+    rows = assign_shards(table(spark, texts, ids), 300).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+    assert len(rows) == len(texts) and len({r["shard"] for r in rows if r["doc_id"] == 5}) > 8
+    for shard, own in shards.items():
+        assert {(sum(r["n_bytes"] for r in own), len(own))} == {(r["shard_bytes"], r["shard_docs"]) for r in own}
+        assert sum(r["n_bytes"] for r in own) <= 300 or len(own) == 1
+        assert all(r["oversize"] == (r["n_bytes"] > 300) and len(shard.replace(".", "")) == 1 + r["depth"] for r in own)
+    with pytest.raises(ValueError):
+        assign_shards(table(spark, ["a"]).withColumn("shard", F.lit(1)), 10, keep=("shard",))
+
+
+def test_shards_of_documents(spark):
+    """A limit at which the documents split, against their sizes summed by hand."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    limit = 100_000
+    rows = assign_shards(docs, limit).collect()
+    hashes = {r["doc_id"]: (r["h"], r["b"]) for r in docs.select("doc_id", key_hash(F.col("doc_id")).alias("h"), F.octet_length("text").alias("b")).collect()}
+
+    def leaf(members, depth):
+        if sum(hashes[d][1] or 0 for d in members) <= limit or len(members) == 1:
+            return {d: depth for d in members}
+        bit = 1 << (59 - depth)
+        return leaf([d for d in members if hashes[d][0] & bit], depth + 1) | leaf([d for d in members if not hashes[d][0] & bit], depth + 1)
+
+    want = leaf(list(hashes), 0)
+    assert {r["doc_id"]: r["depth"] for r in rows} == want and len({r["shard"] for r in rows}) > 20 and len(set(want.values())) > 1
 
 
 def test_url_trust(spark):
@@ -101,19 +133,93 @@ def test_url_trust_spreads_to_the_end(spark):
     assert 0 < out["h40"]["distrust"] < out["h39"]["distrust"] and out["h40"]["verdict"] == "allow"
 
 
-def test_language_model():
-    model = language_id.Model(["the cat sat on the mat", "le chat est sur la table"] * 3, ["en", "fr"] * 3)
-    # All next letters after "#t" in English: probabilities sum to one.
-    chars = sorted({*"thecatsonm", *"lechatestsurtab"})
-    code = np.array([ord(c) for w in chars for c in ("t", w)], np.uint32)
-    start = np.arange(0, len(code), 2)
-    grams, word = language_id._grams(code, start, start + 2)
-    pair = np.flatnonzero(np.diff(np.concatenate([[-1], word])) == 1) + 1  # the second letter of each word
-    whole = model._words(code, start, start + 2)
-    first = model._words(code[:1], np.array([0]), np.array([1]))
-    assert whole.shape == (len(chars), 2) and len(pair) == len(chars) and np.isfinite(whole).all() and np.isfinite(first).all()
-    entropy, size = model.entropies("the cat le chat".encode(), np.array([0, 7, 15]))
-    assert entropy[0].argmin() == 0 and entropy[1].argmin() == 1 and size.tolist() == [8, 8]
+def _kneser_ney(texts, order=4):
+    """Interpolated Kneser-Ney by dictionaries: a function from a word to its log probability."""
+    from collections import Counter, defaultdict
+
+    chains = [["^"] * (order - 1) + [*w, "$"] for t in texts for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    counts = {order: Counter(tuple(c[i - order + 1 : i + 1]) for c in chains for i in range(order - 1, len(c)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount, total, kinds = {}, {}, {}
+    for n, c in counts.items():
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        discount[n] = ones / (ones + 2 * twos) if ones else 0.5
+        total[n], kinds[n] = defaultdict(int), defaultdict(int)
+        for g, v in c.items():
+            total[n][g[:-1]] += v
+            kinds[n][g[:-1]] += 1
+
+    def chance(gram, alphabet):
+        if not gram:
+            return 1 / alphabet
+        n, low = len(gram), chance(gram[1:], alphabet)
+        if not total[n].get(gram[:-1]):
+            return low
+        own = max(counts[n][gram] - discount[n], 0) / total[n][gram[:-1]]
+        return own + discount[n] * kinds[n][gram[:-1]] / total[n][gram[:-1]] * low
+
+    return counts, chance
+
+
+def test_language_model_against_dictionaries():
+    texts = {"en": ["the cat sat on the mat, that the rat ate", "a hat for the cat"], "fr": ["le chat est sur la table", "la tête du chat, ça été"]}
+    model = language_id.Model([t for x in texts.values() for t in x], [k for k, x in texts.items() for _ in x])
+    assert model.langs == ["en", "fr"]
+    alphabet = len({g for t in texts.values() for g in _kneser_ney(t)[0][1]})
+    for k, lang in enumerate(model.langs):
+        counts, chance = _kneser_ney(texts[lang])
+        letters = {g for t in texts.values() for g in _kneser_ney(t)[0][1]}
+        for context in (("^", "^", "t"), ("^", "t", "h"), ("c", "h", "a"), ("x", "y", "z")):
+            assert sum(chance((*context, *x), alphabet) for x in letters) == pytest.approx(1)
+        for word in ("the", "chat", "zebra", "table", "tête", "hat", "日本"):
+            chain = ["^"] * 3 + [*word, "$"]
+            want = sum(np.log(chance(tuple(chain[i - 3 : i + 1]), alphabet)) for i in range(3, len(chain)))
+            entropy, size = model.entropies(word.encode(), np.array([0, len(word.encode())]))
+            assert size[0] == len(word) + 1 and entropy[0, k] == pytest.approx(-want / size[0], rel=1e-5)
+
+
+def test_letters_of_all_planes(spark):
+    model = language_id.Model(["\U00020000\U00020001 \U00020000", "abc abd"], ["x", "y"])
+    texts = ["\U000323a0\U000323af", "\U00020000", "\U00010000 12", "ab"]
+    data = [t.encode() for t in texts]
+    lang, score, rejected = model.predict(b"".join(data), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    assert lang[0] in ("x", "y") and lang[1] == "x" and lang[3] == "y" and all(0 <= s <= 1 for s in score)
+
+
+def test_classifier_against_plain_loops():
+    """The same steps written out for one text and one bucket at a time."""
+    texts, labels = ["good words here today", "bad bad bad", "some good text", "bad words words", "fine text here"], [1, 0, 1, 0, 1]
+    model = quality_classifier.fit(texts, labels, dim=3, epochs=4)
+    r = np.random.default_rng(5)
+    vectors = r.uniform(-1 / 3, 1 / 3, (quality_classifier.BUCKETS, 3)).astype(np.float32).astype(float)
+    out = [[-0.1, 0.0, 0.0], [0.1, 0.0, 0.0]]
+    bags = [dict(zip(*(x.tolist() for x in quality_classifier._bag(t)))) for t in texts]
+    step = 0
+    for _ in range(4):
+        for i in r.permutation(np.arange(5)):
+            rate = 0.5 * (1 - step / 20) * (0.5 / 0.6 if labels[i] else 0.5 / 0.4)
+            step += 1
+            hidden = [sum(w * vectors[b][d] for b, w in bags[i].items()) for d in range(3)]
+            z = [sum(o[d] * hidden[d] for d in range(3)) for o in out]
+            p = [np.exp(x) / sum(map(np.exp, z)) for x in z]
+            gap = [p[c] - (c == labels[i]) for c in range(2)]
+            back = [sum(gap[c] * out[c][d] for c in range(2)) for d in range(3)]
+            out = [[out[c][d] - rate * gap[c] * hidden[d] for d in range(3)] for c in range(2)]
+            for b, w in bags[i].items():
+                for d in range(3):
+                    vectors[b][d] -= rate * np.sqrt(len(bags[i])) * w * back[d]
+    for bag in bags:
+        for b in bag:
+            assert model.weight[b] == pytest.approx(sum(vectors[b][d] * (out[1][d] - out[0][d]) for d in range(3)), rel=1e-3, abs=1e-5)
+
+
+def test_features_of_the_classifier():
+    """Words and their bytes' 3- to 5-grams with ends, and one for each word that follows itself."""
+    ids, share = quality_classifier._bag("ab ab c")
+    grams = {"ab": 1 + 2 + 1, "c": 1 + 1}  # the word; <ab, ab>, <ab>; <c>
+    assert round(1 / share.min()) == 2 * grams["ab"] + grams["c"] + 1
+    assert quality_classifier.SAME_WORD in ids and quality_classifier.SAME_WORD not in quality_classifier._bag("ab c ab")[0]
 
 
 def test_language_id(spark):

@@ -99,6 +99,32 @@ def test_votes_agree_with_the_truth():
     assert (good == truth).mean() > 0.93
 
 
+def test_votes_against_plain_loops():
+    """Expectation-maximisation over single documents instead of patterns."""
+    r = np.random.default_rng(8)
+    votes = r.integers(0, 3, (60, 4))
+    codes, where, counts = np.unique((votes * 3 ** np.arange(4)).sum(1), return_inverse=True, return_counts=True)
+    got = fit_votes(codes, counts.astype(float), 4, rounds=7)[where]
+    table = [[[0.35, 0.55, 0.1], [0.02, 0.48, 0.5]] for _ in range(4)]
+    prior = 0.9
+    for _ in range(7):
+        good = []
+        for v in votes.tolist():
+            like = [1 - prior, prior]
+            for k, x in enumerate(v):
+                like = [like[c] * table[k][c][x] for c in range(2)]
+            good.append(like[1] / sum(like))
+        for k in range(4):
+            new = [[1 + sum(((g if c else 1 - g) for g, v in zip(good, votes.tolist()) if v[k] == x)) for x in range(3)] for c in range(2)]
+            new = [[x / sum(row) for x in row] for row in new]
+            for x, right in ((2, 1), (0, 0)):
+                if new[right][x] < new[1 - right][x]:
+                    new[0][x] = new[1][x] = (new[0][x] + new[1][x]) / 2
+            table[k] = [[x / sum(row) for x in row] for row in new]
+        prior = min(max((sum(good) + 9) / (len(good) + 10), 0.05), 0.99)
+    assert np.allclose(got, good)
+
+
 def test_contamination(spark, odd):
     texts, ids = odd
     long = max((t for t in texts if t), key=len)
@@ -172,6 +198,34 @@ def test_packing_follows_the_mixture_over_a_sorted_table(spark, tmp_path, mixtur
     assert sum(near) > 0.9 * len(near)
 
 
+def test_deficits_carry_over_partitions(spark, tmp_path):
+    """Five sources of very different sizes over eight partitions: no prefix of the whole stream strays far from the mixture."""
+    import public_tokenizers
+
+    docs = spark.range(0, 6000, 1, 3).selectExpr("id AS doc_id", "repeat('alpha beta gamma ', int(20 + id % 7 * 60)) AS text", "concat('s', least(4, int(log2(1 + id % 31)))) AS source")
+    path = str(tmp_path / "docs")
+    docs.orderBy("source").write.option("maxRecordsPerFile", 750).parquet(path)
+    rows = pack(spark.read.parquet(path), public_tokenizers.path("word_bpe_49k.json")).collect()
+    tokens, windows = Counter(), defaultdict(Counter)
+    for r in rows:
+        tokens[r[ROW]["source"]] += r["length"]
+        windows[r["sequence_id"]][r[ROW]["source"]] += r["length"]
+    whole, begun, parts = sum(tokens.values()), Counter(), defaultdict(list)
+    far = lambda: {s: tokens[s] / whole * sum(begun.values()) - begun[s] for s in tokens}
+    for k, w in sorted(windows.items()):
+        before = far()
+        begun.update(w)
+        parts[k >> 40].append((before, w, far()))
+    assert len(parts) >= 3
+    left = 0.0  # what a partition leaves is fixed by the documents it has
+    for own in parts.values():
+        first, w, _ = own[0]
+        assert w[max(first, key=first.get)] > 0 or max(first.values()) < 2048  # it begins with what those before it have left
+        ends = max(map(abs, own[-1][2].values()))
+        assert all(abs(x) <= max(left, ends) + 4096 + 2048 for _, _, after in own for x in after.values())
+        left = ends
+
+
 def test_empty_tables(spark):
     import public_tokenizers
 
