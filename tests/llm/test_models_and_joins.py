@@ -275,3 +275,20 @@ def test_pipeline(spark):
             assert after.keys() == {i for i, f in zip(ids, brute.contamination(texts, items)) if not f[4]}
         before = after
     assert {r["doc_id"] for r in docs.collect()} == before.keys()
+
+
+def test_pipeline_on_odd_rows(spark, odd):  # noqa: F811
+    """Nulls in every column, repeated rows, clashing names and no rows: every stage gives what it states, in the input's columns."""
+    texts, ids = odd
+    docs = table(spark, [*texts, *texts[:12], "of the " * 40], [*ids, *ids[:12], None])
+    for rows in (docs, docs.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            before = rows.count()
+            out = jaccard_join.stored(stage(spark, rows, SF))
+            if name == "packing":
+                assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and (out.count() >= before)
+                break
+            assert out.dtypes == rows.dtypes and out.count() <= before and (name != "line dedup" or out.count() == before)
+            if name == "n-gram Jaccard join":
+                assert out.count() == out.select("doc_id", "text").distinct().count()
+            rows = out
