@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.llm.substring_dedup import repeats
-from graphloom.llm.textkit import RID, ROW, SPACED, Held, Piece, arrow_task, delete, exchanges_freed, hot_join, mix, numbered, pieces, ragged, row_text, scratch, stored, window_hash
+from graphloom.llm.textkit import FLUSH_ROWS, RID, ROW, SPACED, Held, Piece, arrow_task, delete, exchanges_freed, hot_join, mix, numbered, pieces, ragged, row_text, scratch, stored, window_hash
 
 BLOCK = 4096
 BLOCK_SHINGLES = 1 << 20  # of the sets that meet at once in a home tile
@@ -307,14 +307,43 @@ def _verified(percent: int):
     return arrow_task(run)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) that a task holds at a time become links of each node to the smallest node that they reach."""
+
+    def star() -> pa.RecordBatch:
+        u, v = held.take()
+        nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b, least = where[: len(u)], where[len(u) :], np.arange(len(nodes))
+        while True:
+            low = np.minimum(least[a], least[b])
+            new = least.copy()
+            for ends in (a, b, least[a], least[b]):
+                np.minimum.at(new, ends, low)
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        out = np.flatnonzero(least != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[least[out]])], names=["u", "v"])
+
+    held = Held(np.int64, np.int64)
+    for batch in batches:
+        if held.add(*(batch.column(c).to_numpy() for c in ("u", "v"))):
+            yield star()
+    yield star()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rid, part) for every end of a link (a, b); part is the smallest rid that links reach.
 
-    Alternates large-star and small-star steps until the edges are stars; all of it stays distributed, and each round is stored.
+    Links are dealt into parts of FLUSH_ROWS; each part becomes stars. Then large-star and small-star steps alternate until all
+    links are stars; one part alone already is. All of it stays distributed, and each round is stored.
     """
-    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
-    edges = stored(edges, "links")
-    while True:
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "links")
+    parts = max(1, math.ceil(edges.count() / FLUSH_ROWS))
+    edges = stored(edges.repartition(parts).mapInArrow(arrow_task(_stars), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+    seen = None
+    while parts > 1:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -347,14 +376,22 @@ class Bucketed:
 
 
 def _tiles(marked: DataFrame, percent: int) -> DataFrame:
-    """marked (h, rid, n, part) as members of tiles (h, band) that hold sets of several components, with the number of blocks.
+    """marked (h, rid, n, part) as members of tiles (h, band).
 
     Sets that can link differ by a factor of 100 / percent at most, so by one band at most: a set is a member of its own band's tile
     and a visitor in the tile above. The width is a little more than the factor, so that rounding cannot part two bands.
     """
     width = max(math.log(100 / percent), 0.01) * 1.000001
     band = F.floor(F.log("n") / width).cast("long")
-    rows = marked.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("h", (band + F.col("v")).alias("band"), "rid", "part", F.col("v").cast("long").alias("visits"))
+    return marked.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("h", (band + F.col("v")).alias("band"), "rid", "part", F.col("v").cast("long").alias("visits"))
+
+
+def _marked_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    return rows.join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The members of tiles that hold sets of several components, with the number of the tile's blocks."""
     mixed = rows.groupBy("h", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("visits").alias("own"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
     return rows.join(mixed.filter("lo < hi and own = 0").select("h", "band", "blocks"), ["h", "band"])
 
@@ -411,11 +448,13 @@ def _components(heads: DataFrame, base: DataFrame, text: str, shingle: int, perc
     placed = heads.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", ROW).mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
     links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
 
-    tiles = tiles.join(likely.select("rid"), "rid", "left_semi")
-    for most_each, best in ((NEAR, BEST), (None, None)):
+    with Bucketed(tiles.join(likely.select("rid"), "rid", "left_semi").repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid"), "rid") as tiles:
         parts = components(links)
-        marked = tiles.join(parts, "rid", "left").select("h", "rid", "n", F.coalesce("part", "rid").alias("part"))
-        members = stored(_tiles(marked, percent), "members")
+        members = stored(_mixed(_tiles(_marked_parts(tiles, parts), percent)), "members")
+    for most_each, best in ((NEAR, BEST), (None, None)):
+        if best is None:  # components have only grown, so tiles of one component need no second look
+            parts = components(links)
+            members = stored(_mixed(_marked_parts(members.drop("part", "blocks"), parts)), "members")
         if members.isEmpty():
             return parts, sizes
         bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", ROW).mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm.jaccard_join import PAIR_COLUMNS, _bitmap, _likely_pairs
+from graphloom.llm import jaccard_join
+from graphloom.llm.jaccard_join import PAIR_COLUMNS, _bitmap, _likely_pairs, _stars, components
 
 
 def _tile(sets: list[np.ndarray], parts: list[int]) -> pa.RecordBatch:
@@ -32,3 +33,31 @@ def test_likely_pairs_bound_every_overlap(near):
         assert {p for p, c in common.items() if 100 * c >= 75 * (len(sets[p[0]]) + len(sets[p[1]]) - c)} <= set(got)
     else:
         assert len(got) <= 40 * 2 * near
+
+
+def test_stars_reach_the_smallest_node():
+    rng = np.random.default_rng(2)
+    chain = [(i + 1, i) for i in range(500)]
+    pairs = [*chain, *[(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 400, (300, 2)) if a != b], (2000, 2001)]
+    order = rng.permutation(len(pairs))
+    u, v = np.array(pairs, np.int64)[order].T
+    out = [b.to_pydict() for b in _stars(iter([pa.RecordBatch.from_arrays([pa.array(u[k : k + 90]), pa.array(v[k : k + 90])], names=["u", "v"]) for k in range(0, len(u), 90)]))]
+    got = {a: b for x in out for a, b in zip(x["u"], x["v"])}
+    part = {n: n for p in pairs for n in p}
+    for a, b in pairs:
+        low, high = sorted((part[a], part[b]))
+        part = {n: low if p == high else p for n, p in part.items()}
+    assert got == {n: p for n, p in part.items() if n != p}
+
+
+@pytest.mark.parametrize("flush", [1 << 18, 40])
+def test_components(spark, monkeypatch, flush):
+    monkeypatch.setattr(jaccard_join, "FLUSH_ROWS", flush)
+    links = [(i + 1, i) for i in range(60)] + [(100 + i, 100 + (i * 7) % 50) for i in range(50)] + [(500, 501), (500, 501)]
+    out = {r["rid"]: r["part"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    part = {n: n for a, b in links for n in (a, b) if a != b}
+    for a, b in links:
+        if a != b:
+            low, high = sorted((part[a], part[b]))
+            part = {n: low if p == high else p for n, p in part.items()}
+    assert out == part
