@@ -71,3 +71,31 @@ def csv_list(text: str) -> list[str]:
 def language_of(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
     return F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), suffix)
+
+
+def first_array(text: Column, n: int) -> Column:
+    """The JSON array of texts in an answer, fences and other words around it left out; always n entries, null where there is none."""
+    bare = F.trim(F.regexp_replace(text, r"```[a-z]*\n?", ""))
+    whole = F.from_json(bare, "array<string>")
+    part = F.from_json(F.regexp_extract(bare, r"(?s)\[.*\]", 0), "array<string>")
+    found = F.coalesce(F.when(F.forall(whole, lambda x: F.lit(True)) & (F.size(whole) == n), whole), part, F.array().cast("array<string>"))
+    padded = F.slice(F.concat(found, F.array_repeat(F.lit(None).cast("string"), n)), 1, n)
+    return F.transform(padded, lambda x: F.when(x != "", x))
+
+
+def comment_text(raw: Column) -> Column:
+    """A comment without its marks, cut at 500 characters; null below three."""
+    bare = F.trim(F.regexp_replace(F.trim(raw), r"^(?:/{2,}|/?\*+|#+|<!--)\s*|\s*(?:\*+/|-->)$", ""))
+    return F.when(F.length(bare) >= 3, F.substring(bare, 1, 500))
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.round(100 * x).cast("int").cast("string"), F.lit("%"))
+
+
+def bar(n: Column, most: int = 20) -> Column:
+    return F.repeat(F.lit("\u2588"), F.least(n, F.lit(most)).cast("int"))
+
+
+def brief(text: Column, most: int) -> Column:
+    return F.substring(text, 1, most)

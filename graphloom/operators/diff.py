@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a line that defines a symbol looks like; the first that fits counts.
-DEFINITIONS = (r"\bfunction\s+(\w{2,})", r"\bdef\s+(\w{2,})", r"\bfunc\s+(?:\([^)]*\)\s*)?(\w{2,})", r"\bclass\s+(\w{2,})", r"\binterface\s+(\w{2,})", r"\btype\s+(\w{2,})", r"\b(?:const|let|var)\s+(\w{2,})\s*=\s*(?:async\s*)?(?:function|\()")
+KEYWORDS = ("class", "def", "function", "func", "interface", "type", "async", "public", "private", "protected", "static", "final", "abstract", "export", "default", "const", "let", "var", "return", "namespace", "struct")
+_NAME = r"([A-Za-z_]\w+)"
+#: What a line that defines a symbol looks like; the first that fits counts.
+DEFINITIONS = (
+    rf"^\s*(?:async\s+)?def\s+{_NAME}",
+    rf"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+{_NAME}",
+    rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+{_NAME}",
+    rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s*)?(?:function|\()",
+    rf"^\s*func\s+(?:\([^)]*\)\s*)?{_NAME}",
+    rf"^\s*(?:export\s+)?(?:(?:abstract|public|final|sealed|static|partial|internal)\s+)*class\s+{_NAME}",
+    rf"^\s*(?:export\s+)?interface\s+{_NAME}",
+    rf"^\s*type\s+{_NAME}",
+    rf"^\s*(?:(?:public|private|protected|internal|override|virtual|static|abstract|async|readonly)\s+)+(?:[\w.<>\[\],?]+\s+)?{_NAME}\s*[(<]",
+)
 
 
 def parse(lines: DataFrame) -> DataFrame:
@@ -17,7 +29,9 @@ def parse(lines: DataFrame) -> DataFrame:
     code = rows.filter(F.col("text").rlike(r"^[+-](?![+-])|^@@"))
     body = F.when(F.startswith("text", F.lit("@@")), F.regexp_extract("text", r"^@@[^@]*@@(.*)$", 1)).otherwise(F.substr("text", F.lit(2)))
     found = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in DEFINITIONS])
-    named = code.withColumn("symbol", found).filter("symbol is not null and file is not null")
+    # What stands behind a hunk's numbers may be cut off or hold names that no pattern knows: its words count, but for those of the language.
+    words = F.filter(F.split(F.regexp_extract("text", r"^@@[^@]*@@(.*)$", 1), r"[:\s]+"), lambda w: w.rlike(r"^[A-Za-z_]\w+$") & ~w.isin(*KEYWORDS))
+    named = code.withColumn("s", F.when(found.isNotNull(), F.array(found)).when(F.startswith("text", F.lit("@@")), words).otherwise(F.array())).withColumn("symbol", F.explode("s")).filter("file is not null")
     return named.groupBy("diff_id", "file", "symbol").agg(F.min("line_no").alias("pos"))
 
 

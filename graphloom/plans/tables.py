@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/graphloom-tables"
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/graphloom-tables"
     path = f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def python_ready(df: DataFrame) -> DataFrame:
+    """df, after Python workers have been told where the driver has this package (a cluster that has it installed finds the same)."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return df
