@@ -16,7 +16,7 @@ def call_tokens(edges: DataFrame) -> DataFrame:
 def find_usages(edges: DataFrame, name: str, argument: str = "", by_token: bool = True) -> DataFrame:
     """Call edges whose text holds the name as a word; a name of one word needs no regex."""
     if by_token and name.isidentifier():
-        edges = edges.filter(F.array_contains(words(F.col("context")), name.lower()))
+        edges = edges.filter(contains_ci(F.col("context"), name) & F.array_contains(words(F.col("context")), name.lower()))  # the first is cheap
     else:
         edges = edges.filter(F.col("context").rlike(word_regex(name)))
     return edges.filter(contains_ci(F.col("context"), argument)) if argument else edges
@@ -44,6 +44,10 @@ def degree(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
+def unvisited(frontier: DataFrame, seen: DataFrame, on: str = "id") -> DataFrame:
+    return frontier.join(seen.select(on), on, "left_anti")
+
+
 def reach(links: DataFrame, seeds: DataFrame, hops: int, incoming: bool) -> DataFrame:
     """(id, hop): what `hops` steps reach from seeds (id), each node at its first hop; seeds themselves only through a link."""
     hops = max(1, min(hops, 6))
@@ -53,7 +57,7 @@ def reach(links: DataFrame, seeds: DataFrame, hops: int, incoming: bool) -> Data
     for hop in range(1, hops + 1):
         found = frontier.join(steps, "id").select(F.col("to").alias("id")).distinct()
         if seen is not None:
-            found = found.join(seen.select("id"), "id", "left_anti")
+            found = unvisited(found, seen)
         found = kept(found.withColumn("hop", F.lit(hop)))
         seen = found if seen is None else seen.unionByName(found)
         frontier = found.select("id")

@@ -65,13 +65,12 @@ def delete_file(vectors: DataFrame, file: str) -> tuple[DataFrame, int]:
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with batch: batches of about `size` rows by the key's hash, so that no task numbers all rows.
+    """rows with batch: batches of about `size` rows by the MD5 of the key, so that no task numbers all rows.
 
-    There are as many batches as sizes fit into the table, a power of two.
+    There are as many batches as sizes fit into the table, rounded up to a power of two.
     """
-    n = rows.count()
-    many = 1 << max(0, (n // max(1, size)).bit_length())
-    return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(many)))
+    many = 1 << (rows.count() // max(1, size)).bit_length()
+    return rows.withColumn("batch", F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % many)
 
 
 def collection_name(project: str) -> str:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import bridges, callgraph, diff, hotspot, lookup, memory, ranges, retrieval
+from graphloom.operators import bridges, callgraph, diff, embedding, export, hotspot, lookup, memory, ranges, retrieval
+from graphloom.plans.tables import fresh_folder
+from graphloom.sources import extract, files, snapshot, vcs
 from graphloom.streaming import watch
 
 QUERIES: dict = {}
@@ -67,7 +69,7 @@ def structural_search(spark, d):
 
 @query(f"SELECT seq, name, type FROM {_N} WHERE file = 'Brand#7' AND type = 'class'")
 def ast_query_file(spark, d):
-    return _nodes(spark, d).filter("file = 'Brand#7' and type = 'class'").select("seq", "name", "type")
+    return lookup.ast_query(_nodes(spark, d), "Brand#7", "classes").select("seq", "name", "type")
 
 
 @query(f"""
@@ -127,19 +129,110 @@ def callee_resolution(spark, d):
     return _t(spark, d, "events").select("event_id", T.callee(text).alias("callee"))
 
 
-def _edges(spark, d):
-    line = _t(spark, d, "lineitem")
-    return line.select(F.monotonically_increasing_id().alias("edge_id"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.concat(F.lit("x."), F.lit("part"), (F.col("l_partkey") % 60).cast("string"), F.lit("(1)")).alias("context"))
-
-
 @query("""
-WITH e AS (SELECT 'p' || l_partkey % 50 AS source, 's' || l_suppkey AS target, 'part' || l_partkey % 60 AS k FROM lineitem),
-n AS (SELECT DISTINCT 'p' || p_partkey AS id, 'part' || p_partkey % 55 AS k FROM part WHERE p_partkey < 110)
+WITH e AS (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target, 'part' || l_suppkey * 7 AS k FROM lineitem),
+n AS (SELECT DISTINCT 'p' || p_partkey AS id, 'part' || p_partkey AS k FROM part)
 SELECT source, target, count(*) AS n FROM (
   SELECT source, coalesce(n.id, e.target) AS target FROM e LEFT JOIN n ON n.k = e.k WHERE n.id IS NULL OR n.id <> source) GROUP BY source, target""")
 def resolve_edges(spark, d):
-    nodes = _t(spark, d, "part").filter("p_partkey < 110").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("Ns\\C::Part"), (F.col("p_partkey") % 55).cast("string")).alias("name"))
-    return callgraph.resolve_edges(_edges(spark, d), nodes).groupBy("source", "target").agg(F.count("*").alias("n"))
+    """All parts are nodes; lines call the part whose number is seven times their supplier's."""
+    nodes = _t(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("Ns\\C::Part"), F.col("p_partkey").cast("string")).alias("name"))
+    return callgraph.resolve_edges(_calls(spark, d), nodes).groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+def _calls(spark, d):
+    """Lines as call edges: a part calls the part whose number is seven times the supplier's."""
+    text = lambda lead, c: F.concat(F.lit(lead), F.col(c).cast("string"))
+    return _t(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), text("p", "l_partkey").alias("source"), text("s", "l_suppkey").alias("target"), F.concat(F.lit("x.part"), (F.col("l_suppkey") * 7).cast("string"), F.lit("(1)")).alias("context"), F.lit("calls").alias("relation"), F.lit(False).alias("is_bridge"))
+
+
+def _parts(spark, d):
+    """Parts as nodes that have a name of their own."""
+    return _nodes(spark, d).withColumn("name", F.concat(F.lit("part"), F.col("seq").cast("string"))).withColumn("start_line", (F.col("seq") * 7 % 101).cast("int")).withColumn("parent_symbol", F.concat(F.lit("part"), (F.col("seq") % 100).cast("string")))
+
+
+_P = _N.replace("p_name AS name", "'part' || p_partkey AS name").replace("AS complexity_score FROM", "AS complexity_score, (p_partkey * 7 % 101)::INT AS start_line, 'part' || p_partkey % 100 AS parent_symbol FROM")
+_C = "(SELECT l_orderkey * 10 + l_linenumber AS edge_id, 'p' || l_partkey AS source, 's' || l_suppkey AS target, 'part' || l_suppkey * 7 AS callee, 'x.part' || l_suppkey * 7 || '(1)' AS context FROM lineitem)"
+_RANK = "CASE type WHEN 'class' THEN 0 WHEN 'interface' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END"
+
+
+@query(f"""
+WITH n AS (SELECT * FROM {_P}), c AS (SELECT DISTINCT * FROM {_C}),
+f AS (SELECT * FROM n WHERE type <> 'comment' AND lower(name) = 'part35'),
+callers AS (SELECT id, string_agg(name, ',' ORDER BY edge_id, name) AS x FROM (SELECT f.id, n.name, edge_id, row_number() OVER (PARTITION BY f.id ORDER BY edge_id) AS r FROM f JOIN c ON c.callee = lower(f.name) AND c.source <> f.id JOIN n ON n.id = c.source) WHERE r <= 10 GROUP BY id),
+callees AS (SELECT id, string_agg(callee, ',' ORDER BY edge_id) AS x FROM (SELECT f.id, callee, edge_id, row_number() OVER (PARTITION BY f.id ORDER BY edge_id) AS r FROM f JOIN c ON c.source = f.id) WHERE r <= 10 GROUP BY id),
+sib AS (SELECT id, string_agg(name, ',' ORDER BY r) AS x FROM (SELECT f.id, n.name, row_number() OVER (PARTITION BY f.id ORDER BY {_RANK.replace('type', 'n.type')}, n.start_line, n.seq) AS r FROM f JOIN n ON n.file = f.file AND n.id <> f.id) WHERE r <= 10 GROUP BY id)
+SELECT f.seq, f.name, (SELECT count(*) FROM n WHERE type = 'comment' AND parent_symbol = f.name) AS comments, coalesce(callers.x, '') AS callers, coalesce(callees.x, '') AS callees, coalesce(sib.x, '') AS siblings
+FROM f LEFT JOIN callers USING (id) LEFT JOIN callees USING (id) LEFT JOIN sib USING (id)""")
+def explain_symbol(spark, d):
+    commits = vcs.recent_commits(_commits(spark, d))
+    edges = _calls(spark, d).distinct()
+    out = lookup.explain_symbol(_parts(spark, d), edges, commits, "Part35")
+    return out.select("seq", "name", "comments", *(F.array_join(c, ",").alias(c) for c in ("callers", "callees", "siblings")))
+
+
+@query(f"SELECT x.id, x.seq, x.name, x.r FROM (SELECT f.id, n.seq, n.name, row_number() OVER (PARTITION BY f.id ORDER BY {_RANK.replace('type', 'n.type')}, n.start_line, n.seq)::INT AS r FROM {_P} f JOIN {_P} n ON n.file = f.file AND n.id <> f.id WHERE f.seq % 10 = 0) x WHERE r <= 10")
+def siblings(spark, d):
+    nodes = _parts(spark, d)
+    return lookup.siblings(nodes, nodes.filter("seq % 10 = 0")).select("id", "seq", "name", "r")
+
+
+@query(f"SELECT n.seq, n.name, count(c.seq) AS comments FROM {_P} n LEFT JOIN (SELECT * FROM {_P} WHERE type = 'comment') c ON c.parent_symbol = n.name GROUP BY n.seq, n.name")
+def comments_by_parent(spark, d):
+    nodes = _parts(spark, d)
+    return lookup.comments_by_parent(nodes, nodes.filter("type = 'comment'")).select("seq", "name", "comments")
+
+
+@query(f"SELECT n.name AS source_name, count(*) AS n FROM {_C} c JOIN {_P} n ON n.id = c.source WHERE n.type <> 'comment' GROUP BY n.name")
+def edge_sources(spark, d):
+    return callgraph.edge_sources(_calls(spark, d), lookup.no_comments(_parts(spark, d))).groupBy("source_name").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH s AS (SELECT *, CASE WHEN lower(name) = 'bolt' THEN 4 WHEN starts_with(lower(name), 'bolt') THEN 3 WHEN contains(lower(name), 'bolt') THEN 2 WHEN contains(lower(summary), 'bolt') THEN 1 END AS score FROM {_N} WHERE type = 'class' AND language = 'ECONOMY' AND contains(lower(file), 'brand#1'))
+SELECT seq, name, score, count(*) OVER () AS total FROM s WHERE score IS NOT NULL ORDER BY score DESC, length(name), seq LIMIT 25""")
+def search_filtered(spark, d):
+    return lookup.search_symbols(_nodes(spark, d), "bolt", language="ECONOMY", node_type="class", file_filter="brand#1").select("seq", "name", "score", "total")
+
+
+@query(f"""
+WITH s AS (SELECT *, CASE WHEN lower(name) = 'widget' THEN 0 WHEN regexp_matches(name, '\\bwidget\\b', 'i') THEN 1 END AS tier FROM {_N} WHERE type = 'method')
+SELECT seq, name, tier FROM s WHERE tier = (SELECT min(tier) FROM s) ORDER BY seq LIMIT 20""")
+def lookup_typed(spark, d):
+    return lookup.lookup_symbol(_nodes(spark, d), "widget", node_type="method").select("seq", "name", "tier")
+
+
+@query(f"""
+SELECT 'files' AS what, count(DISTINCT file) AS n FROM {_N} UNION ALL SELECT 'nodes', count(*) FROM {_N} UNION ALL SELECT 'edges', count(*) FROM lineitem
+UNION ALL SELECT 'bridges', count(*) FROM pages UNION ALL SELECT 'notes', count(DISTINCT conv_id) FROM conversations""")
+def engine_status(spark, d):
+    notes = memory.upsert(_t(spark, d, "conversations").withColumnRenamed("conv_id", "key"), "key", "turn", "text")
+    return lookup.engine_status(_nodes(spark, d), _calls(spark, d), _t(spark, d, "pages"), notes)
+
+
+@query(f"SELECT count(*) FILTER (WHERE type <> 'comment') AS symbols, count(*) FILTER (WHERE type = 'comment') AS comments, count(DISTINCT file) AS files, (SELECT count(*) FROM lineitem) AS edges FROM {_N}")
+def viz_stats(spark, d):
+    return lookup.viz_stats(_nodes(spark, d), _calls(spark, d))
+
+
+_DEG = "SELECT id, count(*) AS degree FROM (SELECT 'p' || l_partkey AS id FROM lineitem UNION ALL SELECT 's' || l_suppkey FROM lineitem) GROUP BY id"
+
+
+@query(f"WITH g AS ({_DEG}) SELECT seq, name, coalesce(degree, 0) AS degree FROM {_N} n LEFT JOIN g USING (id) WHERE type <> 'comment' AND contains(lower(name), 're') ORDER BY starts_with(lower(name), 're') DESC, coalesce(degree, 0) DESC, lower(name), seq LIMIT 30")
+def viz_search(spark, d):
+    return lookup.viz_search(_nodes(spark, d), callgraph.degree(_calls(spark, d)), "RE", 30).select("seq", "name", "degree")
+
+
+@query(f"""
+WITH l AS {'{}'}, seed AS (SELECT DISTINCT id FROM {_P} WHERE lower(name) = 'part5'),
+b AS (SELECT source, target FROM l UNION SELECT target, source FROM l),
+near AS (SELECT id FROM seed UNION SELECT target FROM b WHERE source IN (SELECT id FROM seed)),
+g AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM l UNION ALL SELECT target FROM l) GROUP BY id),
+c AS (SELECT near.id FROM near LEFT JOIN g USING (id) ORDER BY near.id IN (SELECT id FROM seed) DESC, degree DESC NULLS LAST, near.id LIMIT 20)
+SELECT source, target FROM l WHERE source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)""".replace("{}", "(SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem)"))
+def subgraph_edges(spark, d):
+    links = _supply(spark, d)
+    return callgraph.subgraph_edges(links, callgraph.subgraph(links, callgraph.subgraph_seeds(_parts(spark, d), "PART5"), 1, 20))
 
 
 def _links(spark, d):
@@ -222,12 +315,19 @@ def file_churn(spark, d):
     return hotspot.file_churn(_t(spark, d, "events").select(F.col("user_id").alias("file"), "ts"), 7)
 
 
+def _commits(spark, d):
+    """Orders as commits: a customer is a file."""
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("revision"), F.col("o_orderstatus").alias("author"), F.col("o_orderdate").cast("timestamp").alias("date"), F.col("o_orderpriority").alias("message"), F.array(F.col("o_custkey").cast("string")).alias("files_changed"))
+
+
 @query("SELECT o_custkey, o_orderkey, r FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS r FROM orders) WHERE r <= 5")
 def recent_commits_per_file(spark, d):
-    from pyspark.sql import Window
+    return vcs.recent_commits(_commits(spark, d)).select(F.col("file").cast("bigint").alias("o_custkey"), F.col("revision").cast("bigint").alias("o_orderkey"), "r")
+
 
-    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return _t(spark, d, "orders").select("o_custkey", "o_orderkey", r.alias("r")).filter("r <= 5")
+@query("SELECT substr(o_orderkey::VARCHAR, 1, 8) AS revision, o_orderstatus AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS message FROM orders WHERE o_custkey = 10 ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def file_history(spark, d):
+    return vcs.file_history(_commits(spark, d), "10")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_id % 7 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS author FROM events")
@@ -236,17 +336,25 @@ def blame_ffill(spark, d):
     return ranges.forward_fill(rows, "user_id", "event_id", "author").select("event_id", "author")
 
 
-@query("""
-WITH e AS (SELECT page_id, lang, '*/' || (page_id % 40) AS norm FROM (SELECT page_id, regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) AS lang FROM pages) WHERE lang <> ''),
-k AS (SELECT *, row_number() OVER (PARTITION BY norm, page_id % 2 ORDER BY page_id DESC) AS r FROM e)
-SELECT c.page_id AS c_id, p.page_id AS p_id, 1.0::DOUBLE AS confidence FROM k c JOIN k p ON c.norm = p.norm AND c.lang <> p.lang
-WHERE c.r = 1 AND p.r = 1 AND c.page_id % 2 = 1 AND p.page_id % 2 = 0
-UNION ALL
-SELECT c.page_id, p.page_id, 0.8 FROM k c JOIN k p ON c.norm <> p.norm AND c.lang <> p.lang AND split_part(c.norm, '/', 2) = split_part(p.norm, '/', 2)
-WHERE c.r = 1 AND p.r = 1 AND c.page_id % 2 = 1 AND p.page_id % 2 = 0""")
+_ENDS = r"""
+u AS (SELECT page_id AS id, regexp_extract(url, '://[^/]+/([a-z]{2})/', 1) AS lang, CAST(regexp_extract(url, '://[^/]+/[a-z]{2}/([0-9]+)', 1) AS VARCHAR) AS num FROM pages),
+e AS (SELECT id, lang, id % 2 = 1 AS caller, CASE WHEN id % 6 = 4 THEN 'api/*' ELSE 'api/' || (num::BIGINT // 4) END || '/' || CASE WHEN id % 3 = 0 THEN '*' ELSE (num::BIGINT % 5)::VARCHAR END AS norm FROM u WHERE lang <> '' AND num <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY norm, caller ORDER BY id DESC) AS r FROM e)"""
+
+
+@query(f"""
+WITH {_ENDS}
+SELECT c.id AS c_id, p.id AS p_id, CASE WHEN c.norm = p.norm THEN 1.0 ELSE 0.8 END::DOUBLE AS confidence
+FROM k c JOIN k p ON c.caller AND NOT p.caller AND c.r = 1 AND p.r = 1 AND c.lang <> p.lang
+ AND (split_part(c.norm, '/', 2) = split_part(p.norm, '/', 2) OR '*' IN (split_part(c.norm, '/', 2), split_part(p.norm, '/', 2)))
+ AND (split_part(c.norm, '/', 3) = split_part(p.norm, '/', 3) OR '*' IN (split_part(c.norm, '/', 3), split_part(p.norm, '/', 3)))""")
 def bridge_endpoints(spark, d):
-    lang = F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1)
-    pages = _t(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("seq"), lang.alias("language"), F.concat(F.lit("/:lang/"), (F.col("page_id") % 40).cast("string"), F.lit("/")).alias("path")).filter("language <> ''")
+    """Pages as endpoints: odd ones call, even ones offer; the path is made of the url's number, with placeholders in some."""
+    number = F.regexp_extract("url", "://[^/]+/[a-z]{2}/([0-9]+)", 1)
+    rows = _t(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("page_id").alias("seq"), F.regexp_extract("url", "://[^/]+/([a-z]{2})/", 1).alias("language"), number.alias("num")).filter("language <> '' and num <> ''")
+    n = F.col("num").cast("bigint")
+    first, last = F.when(F.col("id") % 6 == 4, "{group}").otherwise(F.floor(n / 4).cast("string")), F.when(F.col("id") % 3 == 0, ":item").otherwise((n % 5).cast("string"))
+    pages = rows.withColumn("path", F.concat(F.lit("/API/"), first, F.lit("/"), last, F.lit("/")))
     return bridges.resolve(pages.filter("id % 2 = 1"), pages.filter("id % 2 = 0"))
 
 
@@ -304,13 +412,11 @@ c AS (SELECT target AS id, count(*) AS callers FROM l GROUP BY target)
 SELECT symbol, n.id IS NOT NULL AS indexed, coalesce(callers, 0) AS callers, CASE WHEN coalesce(callers, 0) >= 5 THEN 'HIGH' WHEN coalesce(callers, 0) >= 2 THEN 'MED' ELSE 'LOW' END AS risk
 FROM s LEFT JOIN n ON n.name = lower(symbol) LEFT JOIN c ON c.id = n.id""")
 def pr_diff_risk(spark, d):
-    found = diff.parse(diff.lines_of(spark, DIFF)).select("symbol", F.lower("symbol").alias("k"))
-    nodes = _t(spark, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("k"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
     links = _supply(spark, d).select(F.col("target").alias("source"), F.col("source").alias("target"))
-    hit = found.join(nodes, "k", "left")
+    hit = callgraph.changed_nodes(diff.parse(diff.lines_of(spark, DIFF)), _parts(spark, d))
     callers = callgraph.blast_radius(links, hit.filter("id is not null").select("id"))
     out = hit.join(callers.withColumnRenamed("root", "id"), "id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
-    return out.select("symbol", F.col("id").isNotNull().alias("indexed"), "callers", callgraph.risk(F.col("callers")).alias("risk"))
+    return out.select("symbol", "indexed", "callers", callgraph.risk(F.col("callers")).alias("risk"))
 
 
 _TERMS = ["the", "tion", "in"]
@@ -341,15 +447,26 @@ def dense_knn(spark, d):
     return retrieval.nearest(rows, q, 10)
 
 
+@query(f"WITH {_BM25.replace('FROM documents', 'FROM documents WHERE lang = ' + repr('de'))} SELECT id, score FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 40")
+def bm25_filtered(spark, d):
+    return retrieval.bm25_plus(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")), _TERMS, 40, language="de")
+
+
+@query(f"SELECT e.vec_id AS id, {_KNN} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = 3 ORDER BY score DESC, id LIMIT 10")
+def dense_filtered(spark, d):
+    rows, q = _vectors(spark, d)
+    labelled = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("type"))
+    return retrieval.nearest(labelled, q, 10, node_type="3")
+
+
 @query(f"""
 WITH {_BM25},
-a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 ORDER BY rank LIMIT 40),
-b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT e.vec_id AS id, {_KNN} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY rank LIMIT 40)
-SELECT id, round(sum(1 / (60 + rank)), 8) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
+a AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 ORDER BY rank LIMIT 80),
+b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT e.vec_id AS id, {_KNN} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0) ORDER BY rank LIMIT 80)
+SELECT id, round(sum(1 / (60 + rank)), 8) AS rrf, arg_max(score, n) AS score FROM (SELECT *, 0 AS n FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY id ORDER BY rrf DESC, id LIMIT 20""")
 def hybrid_rrf(spark, d):
     rows, q = _vectors(spark, d)
-    sparse = retrieval.bm25_plus(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _TERMS, 40)
-    return retrieval.fuse([sparse, retrieval.nearest(rows, q, 40)], 20)
+    return retrieval.hybrid(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), rows, _TERMS, q, 20)
 
 
 @query("""
@@ -405,28 +522,34 @@ def stream_session(spark, d):
     return rows.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
-@query("SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10)::BIGINT AS batch FROM documents WHERE lang IN ('en', 'de')")
-def enrich_batches(spark, d):
-    from pyspark.sql import Window
+_BATCH = "(SELECT CASE WHEN count(*) < SIZE THEN 1 ELSE 1 << length(bin(count(*) // SIZE)) END FROM TABLE)"
 
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _t(spark, d, "documents").filter("lang in ('en', 'de')").select("doc_id", F.floor((r - 1) / 10).cast("bigint").alias("batch"))
 
+def _batch_sql(key: str, size: int, table: str) -> str:
+    return f"(('0x' || substr(md5({key}::VARCHAR), 1, 8))::BIGINT % " + _BATCH.replace("SIZE", str(size)).replace("TABLE", table) + ")"
 
-@query("""
-SELECT 'ns:func:' || o_orderkey AS key, o_orderstatus AS status, array_to_string(list_slice(list_sort(list(l_partkey)), 1, 3), ',') AS first_parts
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+
+@query(f"SELECT seq, {_batch_sql('seq', 10, f'{_N} WHERE type IN (' + repr('function') + ', ' + repr('method') + ', ' + repr('class') + ')')} AS batch FROM {_N} WHERE type IN ('function', 'method', 'class')")
+def enrich_batches(spark, d):
+    return embedding.batches(export.candidates(_nodes(spark, d), skip_known=False), "seq", 10).select("seq", "batch")
+
+
+@query(f"""
+WITH n AS (SELECT *, start_line AS lo, start_line + 9 AS hi FROM {_P}),
+c AS (SELECT f.id, string_agg(c.summary, '|' ORDER BY c.seq) AS said FROM n f JOIN n c ON c.type = 'comment' AND c.file = f.file AND c.hi >= f.lo - 5 AND c.hi <= f.hi WHERE f.type IN ('function', 'method') GROUP BY f.id)
+SELECT 'ns:func:' || id AS key, name, file, lo AS start_line, coalesce(said, '') AS comments FROM n LEFT JOIN c USING (id) WHERE type IN ('function', 'method')""")
 def kv_export(spark, d):
-    rows = _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_orderstatus").agg(F.slice(F.array_sort(F.collect_list("l_partkey")), 1, 3).alias("p"))
-    sent = rows.select(F.concat(F.lit("ns:func:"), F.col("o_orderkey").cast("string")).alias("key"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), "p")).alias("payload"))
-    back = F.from_json("payload", "status string, p array<bigint>")
-    return sent.select("key", back["status"].alias("status"), F.array_join(back["p"].cast("array<string>"), ",").alias("first_parts"))
+    nodes = _parts(spark, d).withColumn("end_line", F.col("start_line") + 9).withColumn("visibility", F.lit(None).cast("string")).withColumn("is_async", F.lit(False)).withColumn("parameters", F.array().cast("array<string>")).withColumn("return_type", F.lit(None).cast("string"))
+    back = F.from_json("payload", "name string, file string, start_line int, comments array<string>")
+    return export.payloads(nodes, None, "ns").select("key", back["name"].alias("name"), back["file"].alias("file"), back["start_line"].alias("start_line"), F.array_join(back["comments"], "|").alias("comments"))
 
 
-@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 41), chr(10)) AS snippet, greatest(len(string_split(text, chr(10))) - 41, 0)::INT AS more FROM documents")
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 41), chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 41 THEN chr(10) || '... ' || (len(string_split(text, chr(10))) - 41) || ' more lines' ELSE '' END AS snippet FROM documents")
 def snippet(spark, d):
-    lines = F.split("text", "\n")
-    return _t(spark, d, "documents").select("doc_id", F.array_join(F.slice(lines, 2, 40), "\n").alias("snippet"), F.greatest(F.size(lines) - 41, F.lit(0)).alias("more"))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    lines = F.size(F.split("content", "\n"))
+    nodes = docs.select("doc_id", "file", F.lit(2).alias("start_line"), lines.alias("end_line"))
+    return files.snippets(nodes, docs.select(F.col("file").alias("path"), "content")).select("doc_id", "snippet")
 
 
 @query("SELECT p_partkey, substr(sha256(p_brand || '::' || p_name), 1, 16) AS id, (('0x' || substr(md5(p_name), 19, 14))::BIGINT & 9007199254740991) AS point FROM part")
@@ -434,12 +557,18 @@ def ids(spark, d):
     return _t(spark, d, "part").select("p_partkey", T.make_id(F.col("p_brand"), F.col("p_name")).alias("id"), T.point_id(F.col("p_name")).alias("point"))
 
 
-@query("SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 19, 14))::BIGINT & 9007199254740991) AS point, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 500)::BIGINT AS batch FROM documents")
+@query(f"SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 19, 14))::BIGINT & 9007199254740991) AS point, {_batch_sql('doc_id', 500, 'documents')} AS batch FROM documents")
 def batch_upsert_ids(spark, d):
-    from pyspark.sql import Window
+    rows = embedding.batches(_t(spark, d, "documents").select("doc_id"), "doc_id", embedding.BATCH)
+    return rows.select("doc_id", T.point_id(F.col("doc_id").cast("string")).alias("point"), "batch")
 
-    r = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _t(spark, d, "documents").select("doc_id", T.point_id(F.col("doc_id").cast("string")).alias("point"), F.floor((r - 1) / 500).cast("bigint").alias("batch"))
+
+@query("SELECT vec_id AS id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0 AND label <> 4")
+def vector_upsert(spark, d):
+    """A third of the vectors come anew; then those of one label are deleted as a file's are."""
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    out = embedding.upsert_vectors(rows, rows.filter("id % 3 = 0").withColumn("label", F.col("label") + 100))
+    return embedding.delete_file(out.withColumn("file", F.col("label").cast("string")), "4")[0].select("id", "label")
 
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM benchmark) GROUP BY token")
@@ -454,8 +583,9 @@ def extract_html_routes(spark, d):
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def visited_difference(spark, d):
-    seen = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return _t(spark, d, "lineitem").join(seen, "l_orderkey", "left_anti").select("l_partkey", "l_suppkey").distinct()
+    seen = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    frontier = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey")
+    return callgraph.unvisited(frontier, seen).select("l_partkey", "l_suppkey").distinct()
 
 
 @query(f"WITH h AS (SELECT seq, name FROM {_N} WHERE contains(lower(name), 'zzz') OR contains(lower(name), 'qqq')) SELECT * FROM h UNION ALL SELECT * FROM (SELECT seq, name FROM {_N} WHERE NOT EXISTS (SELECT 1 FROM h) ORDER BY seq LIMIT 20)")
@@ -463,14 +593,108 @@ def keyword_or_fallback(spark, d):
     return lookup.keyword_or_fallback(_nodes(spark, d), "zzz qqq").select("seq", "name")
 
 
-@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM benchmark) WHERE token NOT IN ('the', 'and', 'of', 'in') GROUP BY token")
+_SOME = sorted(extract.NOISE)[::3]
+
+
+@query(f"WITH w AS (SELECT o_orderkey, [{', '.join(repr(x) for x in [*_SOME, 'load', 'save', 'find'])}][o_orderkey % {len(_SOME) + 3} + 1] AS callee FROM orders) SELECT callee, count(*) AS n FROM w WHERE callee IN ('load', 'save', 'find') GROUP BY callee")
 def noise_filter(spark, d):
-    stop = spark.createDataFrame([("the",), ("and",), ("of",), ("in",)], "token string")
-    tokens = _t(spark, d, "benchmark").select(F.explode(T.search_tokens(F.col("text"))).alias("token"))
-    return tokens.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count("*").alias("n"))  # stop is a fixed list
+    """Calls of built-in names go; the SQL knows which of the names are none."""
+    names = F.array(*map(F.lit, [*_SOME, "load", "save", "find"]))
+    calls = _t(spark, d, "orders").select(F.get(names, (F.col("o_orderkey") % (len(_SOME) + 3)).cast("int")).alias("callee"))
+    return extract.without_noise(calls, "callee").groupBy("callee").agg(F.count("*").alias("n"))
 
 
 @query("SELECT risk, count(*) AS n FROM (SELECT CASE WHEN count(DISTINCT l_suppkey) >= 5 THEN 'HIGH' WHEN count(DISTINCT l_suppkey) >= 2 THEN 'MED' ELSE 'LOW' END AS risk FROM lineitem GROUP BY l_partkey) GROUP BY risk")
 def risk_class(spark, d):
     callers = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("c"))
     return callers.groupBy(callgraph.risk(F.col("c")).alias("risk")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS key, updated_at, coalesce(days_left, -99999) AS days_left, coalesce(until < now, false) AS expired FROM (SELECT o_orderkey, o_orderdate AS updated_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 40 DAYS END AS until, TIMESTAMP '1997-01-01' AS now, floor((epoch(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 40 DAYS END) - epoch(TIMESTAMP '1997-01-01')) / 86400)::BIGINT AS days_left FROM orders)")
+def memory_flags(spark, d):
+    day = F.col("o_orderdate").cast("timestamp")
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), day.alias("updated_at"), F.when(F.col("o_orderkey") % 3 == 0, day + F.expr("interval 40 days")).alias("expires_at"))
+    out = memory.flagged(rows, F.to_timestamp(F.lit("1997-01-01 00:00:00")))
+    return out.select("key", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"), F.coalesce("days_left", F.lit(-99999)).cast("bigint").alias("days_left"), "expired")
+
+
+@query(f"SELECT e.vec_id AS key, {_KNN} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label = 2 AND NOT (e.vec_id % 4 = 0) ORDER BY score DESC, key LIMIT 5")
+def memory_search(spark, d):
+    """A quarter of the notes has expired; those of one tag are searched."""
+    _, q = _vectors(spark, d)
+    until = F.when(F.col("vec_id") % 4 == 0, F.lit("2020-01-01 00:00:00"))
+    notes = _t(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding", F.array(F.col("label").cast("string")).alias("tags"), until.alias("expires_at"))
+    return memory.search(notes, F.to_timestamp(F.lit("2024-01-01 00:00:00")), query=q, tag="2").select("key", "score")
+
+
+@query("""
+SELECT doc_id, substr(lang || ' ' || source || CASE WHEN coalesce(text, '') <> '' THEN ' - ' || text ELSE '' END, 1, 200) AS embedded, substr(concat_ws(' ', lang, source, nullif(text, '')), 1, 200) AS bm25 FROM documents""")
+def node_texts(spark, d):
+    rows = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("type"), F.col("source").alias("name"), F.col("text").alias("summary"), F.array().cast("array<string>").alias("parameters"), F.lit(None).cast("string").alias("return_type"))
+    return rows.select("doc_id", T.brief(embedding.embedding_text(), 200).alias("embedded"), T.brief(retrieval.bm25_text(), 200).alias("bm25"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN '' ELSE p_brand END AS first, CASE WHEN p_size % 3 = 0 THEN p_type ELSE '' END AS second, round(p_size)::INT || '%' AS share, repeat('\u2588', least(p_size, 20)) AS bar FROM part""".replace("\\u2588", "\u2588"))
+def answer_arrays(spark, d):
+    """A model's answers: a fenced array of two, one that is too short among words, and none at all."""
+    k = F.col("p_size") % 3
+    text = F.when(k == 0, F.concat(F.lit("```json\n[\""), "p_brand", F.lit('", "'), "p_type", F.lit('"]\n```'))).when(k == 1, F.concat(F.lit('Here: ["'), "p_brand", F.lit('"] as asked'))).otherwise("no answer")
+    found = T.first_array(text, 2)
+    return _t(spark, d, "part").select("p_partkey", F.coalesce(found[0], F.lit("")).alias("first"), F.coalesce(found[1], F.lit("")).alias("second"), T.percent(F.col("p_size") / 100).alias("share"), T.bar(F.col("p_size")).alias("bar"))
+
+
+@query(f"""
+WITH c AS (SELECT 'part ' || l_partkey AS k, count(DISTINCT l_suppkey) AS callers FROM lineitem GROUP BY l_partkey),
+s AS (SELECT p_partkey AS seq, round(log2(1 + coalesce(callers, 0)) * log2(2), 6) AS score, coalesce(callers, 0) AS callers FROM part LEFT JOIN c ON c.k = 'part ' || p_partkey WHERE {_KIND} = 'class' AND p_type = 'ECONOMY'),
+r AS (SELECT seq, score, row_number() OVER (ORDER BY score DESC, callers DESC, seq)::INT AS rank FROM s)
+SELECT * FROM r WHERE rank <= 20""")
+def hotspot_ranked(spark, d):
+    nodes = _nodes(spark, d).withColumn("name", F.concat(F.lit("part "), F.col("seq").cast("string")))
+    calls = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("callee"))
+    none = spark.createDataFrame([], "file string, churn bigint")
+    return hotspot.ranked(hotspot.hotspots(nodes, calls, none, 20, node_type="class", language="ECONOMY")).select("seq", "score", "rank")
+
+
+SOURCES = {
+    "a/app.py": 'from store import Store\n\n@app.get("/users/{id}")\ndef show(id, q=1):\n    # look it up\n    return load(id)\n\ndef load(id):\n    return Store().find(id)\n',
+    "a/bad.py": "def (:\n",
+    "b/main.go": 'import (\n\t"fmt"\n\tx "a/b"\n)\nfunc Run(id int) error {\n\tload(id)\n\thttp.Get("/users/:id")\n}\n',
+}
+
+
+def _index(spark):
+    """The fixed sources, extracted, written as a snapshot and read again."""
+    rows = spark.createDataFrame([(k, v.encode()) for k, v in SOURCES.items()], "path string, content binary")
+    nodes, edges, errors = extract.extract(rows.withColumn("language", T.language_of(F.col("path"))))
+    path = fresh_folder(spark)
+    snapshot.save(nodes, edges, path, errors)
+    return *snapshot.load(spark, path), errors
+
+
+@query("""SELECT * FROM (VALUES ('a/app.py', 'function', 'show', 4, 6, 'id,q', ''), ('a/app.py', 'endpoint', '/users/{id}', 4, 6, '', ''), ('a/app.py', 'function', 'load', 8, 9, 'id', ''), ('a/app.py', 'comment', 'comment:5', 5, 5, '', 'show'),
+('b/main.go', 'function', 'Run', 5, 8, 'id', ''), ('b/main.go', 'endpoint', '/users/:id', 7, 7, '', ''), ('a/bad.py', 'error', '', 0, 0, '', '')) AS t(file, type, name, lo, hi, parameters, parent)""")
+def index_build(spark, d):
+    nodes, _, errors = _index(spark)
+    found = nodes.select("file", "type", "name", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"), F.array_join("parameters", ",").alias("parameters"), F.coalesce("parent_symbol", F.lit("")).alias("parent"))
+    return found.unionByName(errors.select(F.col("path").alias("file"), F.lit("error").alias("type"), F.lit("").alias("name"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit("").alias("parameters"), F.lit("").alias("parent")))
+
+
+@query("SELECT * FROM (VALUES ('show', 'load(id)', 'a/app.py'), ('Run', 'load(id)', 'b/main.go')) AS t(caller, context, file)")
+def usages_after_load(spark, d):
+    nodes, edges, _ = _index(spark)
+    named = callgraph.edge_sources(callgraph.find_usages(edges.filter("relation = 'calls'"), "load"), nodes)
+    return named.select(F.col("source_name").alias("caller"), "context", "file")
+
+
+@query("SELECT * FROM (VALUES ('/users/:id', '/users/{id}', 1.0::DOUBLE)) AS t(consumer, provider, confidence)")
+def bridges_of_index(spark, d):
+    nodes, edges, _ = _index(spark)
+    name = lambda to: nodes.select(F.col("id").alias(f"{to[0]}_id"), F.col("name").alias(to))
+    return bridges.find_bridges(nodes, edges).join(name("consumer"), "c_id").join(name("provider"), "p_id").select("consumer", "provider", "confidence")
+
+
+@query("SELECT * FROM (VALUES ('a/app.py', 'store.Store'), ('b/main.go', 'a/b'), ('b/main.go', 'fmt')) AS t(file, module)")
+def imports(spark, d):
+    _, edges, _ = _index(spark)
+    return lookup.imports_of(edges, "a/app.py").unionByName(lookup.imports_of(edges, "b/main.go")).select("file", F.col("context").alias("module"))

@@ -6,19 +6,23 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder name under the folder that all executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/graphloom-tables"
-    path = f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def python_ready(df: DataFrame) -> DataFrame:

@@ -59,6 +59,11 @@ _GO_IMPORT = re.compile(r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$""")
 _COMMENT = re.compile(r"(?:^|\s)(?://|#(?!\[)|/?\*+)\s?(.*)$")
 
 
+def without_noise(calls: DataFrame, callee: str) -> DataFrame:
+    """calls but those of built-in names, of which there are 149."""
+    return calls.filter(~F.col(callee).isin(*sorted(NOISE)))
+
+
 def _row(kind: str, **more) -> dict:
     return {"kind": kind, "type": None, "name": None, "start_line": None, "end_line": None, "visibility": None, "is_async": False, "parameters": [], "return_type": None, "parent_symbol": None, "summary": "", "owner": None, "target": None, "relation": None, "context": None, "is_bridge": False} | more
 

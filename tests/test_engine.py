@@ -5,15 +5,34 @@ import json
 import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import bridges, callgraph, diff, embedding, export, hotspot, lookup, memory, ranges, retrieval
+from graphloom.plans.queries import QUERIES, SQL
 from graphloom.sources import config, extract, files, index, snapshot, vcs
 from graphloom.streaming import watch
 
+SF = "/root/testdata/sf0.001"
+
+
+def _values(frame):
+    clean = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v)
+    return sorted((tuple(clean(v) for v in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_every_query_agrees_with_its_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations", "benchmark"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), c.execute(SQL[name]).fetchdf()
+    assert _values(got) == _values(want) and (len(got) or name in ("lookup_typed", "memory_search", "search_comments", "search_filtered", "subgraph_edges"))
+
+
 TREE = {
     "app.py": '"""Module."""\nfrom store import Store\n\n# Shows a user.\n@app.get("/users/{id}")\nasync def show(id, q="a, b"):\n    # look it up\n    print(id)\n    return load(id)\n\ndef load(id):\n    return Store().find(id)\n',
     "store.py": 'class Store:\n    """Docs."""\n    def find(self, x):\n        self.check(x)\n\n    def check(self, x):\n        return helper(x)\n',
