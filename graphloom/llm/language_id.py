@@ -245,7 +245,7 @@ def _predictions(model, text: str):
             buf, at = flat(row_text(batch, text))
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE_BYTES, "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + 4 * PIECE_BYTES, "right")) - 1)
                 lang, score, rejected = m.predict(buf[at[lo] : at[hi]].tobytes(), at[lo : hi + 1] - at[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=[ROW, "lang_pred", "score", "rejected"])
                 lo = hi
