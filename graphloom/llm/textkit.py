@@ -315,10 +315,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     place = docs.select(about.getField("file_path").alias("__file"), about.getField("row_index").alias("__index"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
     _ready(spark)
     names = sorted(r[0] for r in place.select("__file").distinct().collect())  # a row a file
+    # Never null, and Spark is told so: else a filter of some joins would keep their exchanges from being used again by others.
     if len(names) <= 1:
-        return place.select(ROW, F.col("__index").alias(RID))
+        return place.select(ROW, F.coalesce("__index", F.lit(-1)).cast("long").alias(RID))
     files = spark.createDataFrame(pa.table({"__n": range(len(names)), "__file": names}))  # Arrow tables get to executors without Python
-    return place.join(F.broadcast(files), "__file").select(ROW, (F.shiftleft("__n", 40) + F.col("__index")).alias(RID))
+    return place.join(F.broadcast(files), "__file").select(ROW, F.coalesce(F.shiftleft("__n", 40) + F.col("__index"), F.lit(-1)).cast("long").alias(RID))
 
 
 _libc = ctypes.CDLL(None)
