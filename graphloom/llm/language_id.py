@@ -78,6 +78,8 @@ class Model:
         #: Code points that the texts have, the most frequent if there are too many; all others are one unknown letter.
         seen, often = np.unique(np.concatenate([c[ragged(b - a, a)] for c, a, b in split]), return_counts=True) if split else (np.zeros(0, np.uint32), np.zeros(0))
         self.alphabet = np.sort(seen[np.argsort(-often, kind="stable")][:_MOST_LETTERS])
+        self.number = np.full(len(_letters()[0]), _UNKNOWN, np.uint16)
+        self.number[self.alphabet] = np.arange(len(self.alphabet)) + _UNKNOWN + 1
         # Per language: n-grams of the highest order, and their counts.
         counts = [np.unique(_grams(self._numbers(code), start, end)[0][-1], return_counts=True) for code, start, end in split]
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
@@ -115,8 +117,7 @@ class Model:
 
     def _numbers(self, code: np.ndarray) -> np.ndarray:
         """Letters as numbers below 2 ** 16."""
-        at = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == code, at + _UNKNOWN + 1, _UNKNOWN).astype(np.uint64)
+        return self.number[code].astype(np.uint64)
 
     @staticmethod
     def _store(keys: list, values: list, key: np.ndarray, value: np.ndarray) -> None:
@@ -169,7 +170,9 @@ class Model:
         out = np.zeros((n, len(self.langs)))
         if not len(start):
             return out, size
-        hashed = word_hash(code.view(np.uint8), 4 * start, 4 * end)
+        raw = np.frombuffer(data, np.uint8)
+        lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte that each code point begins with
+        hashed = word_hash(raw, lead[start], lead[end])
         _, index, which = np.unique(hashed, return_index=True, return_inverse=True)
         words = self._words(code, start[index], end[index])
         size = np.bincount(doc, weights=end - start + 1, minlength=n)
