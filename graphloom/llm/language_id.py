@@ -3,7 +3,7 @@
 Each language has a model of order ORDER over the letters of its words (lower-cased, with word ends). Probabilities are stored
 ready interpolated: per order one sorted array of n-gram hashes with a column of log probabilities per language, and one of
 context hashes with the weights that lead to the lower order. A text's language is that of the lowest cross-entropy per
-letter. Tasks score each distinct word of a piece of a batch once.
+letter. A task scores each distinct word of a piece of a batch once, and keeps the scores of some.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from graphloom.llm.textkit import PIECE_BYTES, ROW, arrow_task, flat, mix, ragge
 ORDER = 4
 _END, _START, _UNKNOWN = 1, 2, 3
 _MOST_LETTERS = 65_000
+_MOST_WORDS = 1 << 17  # whose scores a task keeps
 
 
 @lru_cache(maxsize=1)
@@ -83,6 +84,7 @@ class Model:
         # Per language: n-grams of the highest order, and their counts.
         counts = [np.unique(_grams(self._numbers(code), start, end)[0][-1], return_counts=True) for code, start, end in split]
         self.grams, self.logs, self.contexts, self.weights = [], [], [], []
+        self.known = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))
         self.scale, self.limit = 1.0, np.full(len(self.langs), np.inf)
         if not self.langs:
             return
@@ -163,6 +165,23 @@ class Model:
         edges = np.concatenate([[0], np.cumsum(end - start + 1)[:-1]])
         return np.add.reduceat(logs, edges, axis=0, dtype=np.float64) if len(edges) and len(logs) else np.zeros((0, len(self.langs)))
 
+    def _known_words(self, hashed: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """_words of different words with these hashes, in their order; a task's frequent words are scored once."""
+        known, rows = self.known
+        at = np.searchsorted(known, hashed)
+        hit = np.append(known, np.uint64(0))[at] == hashed if len(known) else np.zeros(len(hashed), bool)
+        hit &= at < len(known)
+        out = np.empty((len(hashed), len(self.langs)))
+        out[hit] = rows[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            out[new] = self._words(code, start[new], end[new])
+            if len(known) + len(new) > _MOST_WORDS:
+                self.known = hashed[new][:_MOST_WORDS], out[new][:_MOST_WORDS]
+            else:
+                self.known = np.insert(known, at[new], hashed[new]), np.insert(rows, at[new], out[new], axis=0)
+        return out
+
     def entropies(self, data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per letter of each text in each language, and the number of letters."""
         code, start, end, doc = _words(data, at)
@@ -174,7 +193,7 @@ class Model:
         lead = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte that each code point begins with
         hashed = word_hash(raw, lead[start], lead[end])
         _, index, which = np.unique(hashed, return_index=True, return_inverse=True)
-        words = self._words(code, start[index], end[index])
+        words = self._known_words(hashed[index], code, start[index], end[index])
         size = np.bincount(doc, weights=end - start + 1, minlength=n)
         for i in range(len(self.langs)):
             out[:, i] = -np.bincount(doc, weights=words[which, i], minlength=n) / np.maximum(size, 1)

@@ -179,6 +179,17 @@ def test_language_model_against_dictionaries():
             assert size[0] == len(word) + 1 and entropy[0, k] == pytest.approx(-want / size[0], rel=1e-5)
 
 
+def test_kept_scores_are_those_of_the_words(monkeypatch):
+    monkeypatch.setattr(language_id, "_MOST_WORDS", 40)
+    texts = [" ".join(f"w{chr(97 + (i * k) % 26)}{chr(97 + i % 7)}" for i in range(30)) for k in range(1, 12)]
+    model = language_id.Model([*texts[:4], "le la les"], ["x"] * 4 + ["y"])
+    for t in [*texts, *texts]:
+        kept, _ = model.entropies(t.encode(), np.array([0, len(t.encode())]))
+        model.known = np.zeros(0, np.uint64), np.zeros((0, 2))
+        assert np.allclose(kept, model.entropies(t.encode(), np.array([0, len(t.encode())]))[0])
+        model.entropies(texts[0].encode(), np.array([0, len(texts[0])]))
+
+
 def test_letters_of_all_planes(spark):
     model = language_id.Model(["\U00020000\U00020001 \U00020000", "abc abd"], ["x", "y"])
     texts = ["\U000323a0\U000323af", "\U00020000", "\U00010000 12", "ab"]
