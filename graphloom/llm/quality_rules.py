@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textkit import ROW, SPACED, Piece, arrow_task, equal_in_text, per_span, per_text, pieces, row_text, whole_rows, window_hash
+from graphloom.llm.textkit import ROW, SPACED, Piece, arrow_task, equal_in_text, per_span, per_text, pieces, row_text, stored, whole_rows, window_hash
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 _SYMBOLS = np.zeros(256, bool)
@@ -70,7 +70,7 @@ def _repeated_lines(piece: Piece) -> np.ndarray:
 def _features(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(row_text(batch, text), SPACED):
+            for piece in pieces(batch.column("text") if "text" in batch.schema.names else row_text(batch, text), SPACED):
                 n, buf, doc, at = len(piece), piece.buf, piece.doc, piece.at
                 words, letters = piece.words(), np.zeros(len(buf) + 1, np.int32)
                 np.cumsum(_LETTER[buf], out=letters[1:])
@@ -91,9 +91,15 @@ def _features(text: str):
     return arrow_task(run)
 
 
-def text_figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs as column ROW with one column for each of FEATURES."""
-    return whole_rows(docs).mapInArrow(_features(text), f"{ROW} {docs.schema.simpleString()}, " + ", ".join(f"{x} long" for x in FEATURES))
+def text_figures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or its columns in keep, as column ROW with one column for each of FEATURES."""
+    if keep is None:
+        rows, kind = whole_rows(docs), docs.schema.simpleString()
+    else:
+        kept = docs.select(*(F.col(f"`{c}`") for c in keep))
+        kind = kept.schema.simpleString()
+        rows = whole_rows(docs).select(F.struct(*(F.col(ROW).getField(c).alias(c) for c in keep)).alias(ROW), F.col(ROW).getField(text).alias("text"))
+    return rows.mapInArrow(_features(text), f"{ROW} {kind}, " + ", ".join(f"{x} long" for x in FEATURES))
 
 
 def vote_code() -> Column:
@@ -131,17 +137,17 @@ def fit_votes(codes: np.ndarray, counts: np.ndarray, rules: int = len(RULES), ro
     return good
 
 
-def score_quality(docs: DataFrame, text: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """docs as column ROW with FEATURES, base_failed, posterior and kept.
+def score_quality(docs: DataFrame, text: str = "text", keep_at: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """docs, or its columns in keep, as column ROW (a struct) with FEATURES, base_failed, posterior and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in 8-word windows that occur twice. kept: not base_failed, and
-    the posterior probability of good quality is at least keep_at. Both passes read whole texts of all documents; the first
-    only returns counts of vote patterns.
+    the posterior probability of good quality is at least keep_at. One pass reads the whole texts of all documents and stores their
+    figures with ROW; the counts of vote patterns and the verdicts come from that table, which is narrow where keep leaves the text out.
 
     Null and empty texts have one empty line, no words and fail the base rules. Repeated rows are judged alike and count each
     time. An empty table gives an empty table. Other columns, null ids and clashing names only travel inside ROW.
     """
-    figures = text_figures(docs, text)
+    figures = stored(text_figures(docs, text, keep), "figures")
     rows = figures.groupBy(vote_code().alias("code")).count().collect()  # at most 3 ** len(RULES) rows
     codes, counts = np.array([r["code"] for r in rows], int), np.array([r["count"] for r in rows], float)
     posterior = dict(zip(codes.tolist(), fit_votes(codes, counts).tolist()))

@@ -225,7 +225,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_quality(_table(spark, sf_dir, "documents"))
+    out = score_quality(_table(spark, sf_dir, "documents"), keep=("doc_id",))
     return out.select(_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("posterior"))
 
 

@@ -86,6 +86,9 @@ def test_quality(spark, odd):
     base = [(*q, q[0] < 20 or 100 * q[4] > 30 * q[0]) for q in map(brute.quality, texts)]
     assert by_position(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == expected(ids, texts, base)
     assert all(not r["kept"] for r in out.collect() if r["base_failed"])
+    narrow = score_quality(table(spark, texts, ids), keep=("doc_id",))
+    assert narrow.schema[ROW].dataType.names == ["doc_id"] and "MapInArrow" not in narrow._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r[ROW]["doc_id"], *r[1:]) for r in narrow.collect()), key=repr) == sorted(((r[ROW]["doc_id"], *r[1:]) for r in out.collect()), key=repr)
 
 
 def test_votes_agree_with_the_truth():
