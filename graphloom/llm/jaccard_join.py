@@ -6,13 +6,16 @@
    ceil(n / 10) of them for the smaller set's n, so texts with fewer shared ones drop out: texts that only share a passage.
 3. The rest meet in tiles, one per shared shingle. Inside a tile sets are ordered by size and a set is held against its band of
    sizes only (n_j <= n_i / t); bit counts of hashed bitmaps bound the overlap from above before sorted arrays are intersected.
-   Each text first goes, with its set, to the tile of its smallest shared shingle, where links are exact.
-4. Then all tiles are gone through for pairs across components, first for the likeliest few of each two components, so that few
-   links merge them, in the end for every pair. There a tile is a shingle and a band of sizes, in which a set meets those of its
-   own band and of the one below. A pair's shared emitted shingles are counted over its tiles: each emitted one that it does not
-   share lowers the bound, also where long sets fill the bitmaps. Only pairs that both bounds leave are verified on the sets.
-   Members of one component are never paired, so a large group costs no pairs; tiles beyond BLOCK members are cut into pairs of
-   blocks.
+   Each text first goes, with its set, to the tile of its smallest shared shingle, where links are exact. This is done again under
+   other orders, which other members of a group share, until a round finds no link, HOMES times at most: a text goes to one tile a
+   round, so the rows of a round are no more than the texts, and large groups of near copies are one component before step 4.
+4. Then all tiles are gone through for pairs across components, in the end for every pair; if the last round of step 3 still found
+   links, first for the likeliest few of each two components. There a tile is a shingle and a band of sizes, in which a set meets
+   those of its own band and of the one below. Tiles of the same members are one tile that counts as many times, so
+   shingles that the same texts share cost a pair one row. A pair's shared emitted shingles are counted over its tiles: each
+   emitted one that it does not share lowers the bound, also where very long sets fill the bitmaps. Only pairs that both bounds
+   leave are verified on the sets. Members of one component are never paired, so a large group costs no pairs; tiles beyond BLOCK
+   members are cut into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ BLOCK = 4096
 BLOCK_SHINGLES = 1 << 20  # of the sets that meet at once in a home tile
 FREQUENT = 64
 HEAVY = 1 << 22
+HOMES = 6  # rounds in which a text goes to one tile with its set
 WORDS64 = 32  # of a bitmap
-PAIRS = 1 << 15  # whose bitmaps are compared at a time
+WIDEST = 4 * WORDS64  # of the bitmap of a long set; wider ones would cost long texts the square of their length
+PAIRS = 1 << 15  # whose bitmaps are compared at a time, fewer if they are wide
 NEAR = 2  # partners of a text in another component and tile, in the first round
 BEST = 8  # pairs of two components that the first round verifies
 
@@ -136,19 +141,30 @@ def _set_rows(text: str, k: int, bitmaps: bool):
                 h, doc, n = _sets(piece, k)
                 stop = np.cumsum(n)
                 each = [h[b - c : b] for c, b in zip(n.tolist(), stop.tolist())]
-                data = [_bitmap(x).tobytes() if bitmaps else x.tobytes() for x in each]
+                data = [_bitmap(x, _width(len(x))).tobytes() if bitmaps else x.tobytes() for x in each]
                 rest = [c for c in batch.schema.names if c != ROW]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(piece.rows.start, len(piece)) for c in rest), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], names=[*rest, "n", "data"])
 
     return arrow_task(run)
 
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WORDS64 * 64, np.uint8)
-    bits[(mix(h) % np.uint64(WORDS64 * 64)).astype(np.int64)] = 1
+def _bitmap(h: np.ndarray, words: int = WORDS64) -> np.ndarray:
+    bits = np.zeros(words * 64, np.uint8)
+    bits[(mix(h) % np.uint64(words * 64)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def _width(n: int) -> int:
+    """Words of the bitmap of a set of n: a bit for each element, so that it is not filled, WIDEST at most."""
+    return min(WIDEST, max(WORDS64, (1 << n.bit_length()) // 64))
+
+
+def _folded(data: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of `words` or more words as rows of `words`: a wide one, folded, is the narrow one of the same set."""
+    rows = [x if len(x) == 8 * words else np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, words)).tobytes() for x in data]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, words)
+
+
 def _reaches(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * common >= percent * (n + m - common)
 
@@ -192,7 +208,7 @@ def _exact_tile(percent: int):
             data = table.column("data").to_pylist()
             sets = [np.frombuffer(data[i], np.uint64) for i in order.tolist()]
             bits = np.stack([_bitmap(s) for s in sets])
-            part = np.arange(len(n))
+            part = table.column("part").to_numpy()[order].copy()
             stop = np.searchsorted(n, n * 100 // percent, "right")
             links = []
             for i in range(len(n)):
@@ -235,42 +251,53 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Tab
 def _likely_pairs(percent: int, most_each: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _runs(batches, 4):
-            n = table.column("n").to_numpy().astype(np.int64)
-            order = np.lexsort((n, group))
-            n, group = n[order], group[order]
-            rid, part, own, one, other, visits = (table.column(c).to_numpy()[order] for c in ("rid", "part", "own", "i", "j", "visits"))
-            bits = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint64).reshape(-1, WORDS64)[order]
-            lack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-            stop = np.searchsorted((group << 32) + n, (group << 32) + n * 100 // percent, "right")
-            counts = stop - np.arange(len(n)) - 1
-            until = np.cumsum(counts)
-            lo = 0
-            while lo < len(n):
-                hi = max(lo + 1, int(np.searchsorted(until, until[lo] - counts[lo] + PAIRS, "right")))
-                i, j = np.repeat(np.arange(lo, hi), counts[lo:hi]), ragged(counts[lo:hi], np.arange(lo, hi) + 1)
-                lo = hi
-                apart = (part[i] != part[j]) & ((one[i] == other[i]) | (own[i] != own[j])) & ~((visits[i] > 0) & (visits[j] > 0))
-                i, j = i[apart], j[apart]
-                # Each bit that only one has is an element that the other lacks.
-                both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
-                most = both + np.minimum(lack[i], lack[j])
-                fits = _reaches(most, n[i], n[j], percent)
-                i, j, most = i[fits], j[fits], most[fits]
-                if most_each is not None and len(i):
-                    by = np.lexsort((-most, part[j], i))
-                    i, j, most = i[by], j[by], most[by]
-                    start = np.ones(len(i), bool)
-                    start[1:] = (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])
-                    near = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < most_each
-                    i, j, most = i[near], j[near], most[near]
-                if len(i):
-                    swap = rid[i] > rid[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rid[i], rid[j], part[i], part[j], n[i], n[j], most)], names=PAIR_COLUMNS)
+            if "weight" not in table.column_names:  # each tile counts once
+                table = table.append_column("weight", pa.array(np.ones(table.num_rows, np.int64)))
+            data, table = table.column("data").to_pylist(), table.drop_columns("data")
+            # The bitmaps of a tile are as wide as its narrowest.
+            width = np.array([len(x) // 8 for x in data])
+            width = np.minimum.reduceat(width, np.flatnonzero(np.diff(group, prepend=-1)))[group]
+            for words in np.unique(width).tolist():
+                rows = np.flatnonzero(width == words)
+                yield from _pairs_of(table.take(rows), group[rows], _folded([data[x] for x in rows.tolist()], words), percent, most_each)
 
     return arrow_task(run)
 
 
+def _pairs_of(table: pa.Table, group: np.ndarray, bits: np.ndarray, percent: int, most_each: int | None) -> Iterator[pa.RecordBatch]:
+    n = table.column("n").to_numpy().astype(np.int64)
+    order = np.lexsort((n, group))
+    n, group, bits = n[order], group[order], bits[order]
+    rid, part, own, one, other, visits, weight = (table.column(c).to_numpy()[order] for c in ("rid", "part", "own", "i", "j", "visits", "weight"))
+    lack = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+    stop = np.searchsorted((group << 32) + n, (group << 32) + n * 100 // percent, "right")
+    counts = stop - np.arange(len(n)) - 1
+    until = np.cumsum(counts)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(until, until[lo] - counts[lo] + PAIRS * WORDS64 // bits.shape[1], "right")))
+        i, j = np.repeat(np.arange(lo, hi), counts[lo:hi]), ragged(counts[lo:hi], np.arange(lo, hi) + 1)
+        lo = hi
+        apart = (part[i] != part[j]) & ((one[i] == other[i]) | (own[i] != own[j])) & ~((visits[i] > 0) & (visits[j] > 0))
+        i, j = i[apart], j[apart]
+        # Each bit that only one has is an element that the other lacks.
+        both = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)
+        most = both + np.minimum(lack[i], lack[j])
+        fits = _reaches(most, n[i], n[j], percent)
+        i, j, most = i[fits], j[fits], most[fits]
+        if most_each is not None and len(i):
+            by = np.lexsort((-most, part[j], i))
+            i, j, most = i[by], j[by], most[by]
+            start = np.ones(len(i), bool)
+            start[1:] = (i[1:] != i[:-1]) | (part[j][1:] != part[j][:-1])
+            near = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) < most_each
+            i, j, most = i[near], j[near], most[near]
+        if len(i):
+            swap = rid[i] > rid[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rid[i], rid[j], part[i], part[j], n[i], n[j], most, weight[i])], names=[*PAIR_COLUMNS, "weight"])
+
+
 PAIR_COLUMNS = ["a", "b", "part_a", "part_b", "n_a", "n_b", "most"]
 
 
@@ -285,7 +312,7 @@ def _promising(pairs: DataFrame, percent: int, best: int | None) -> DataFrame:
     The set whose emitted shingles end first in the order lacks none of its shared ones among the other's, so what it emitted and
     does not share is not in the other set. Which one ends first is not known here; the larger bound of the two holds anyway.
     """
-    each = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in PAIR_COLUMNS[2:]))
+    each = pairs.groupBy("a", "b").agg(F.sum("weight").alias("k"), F.min("most").alias("most"), *(F.first(c).alias(c) for c in PAIR_COLUMNS[2:-1]))
     each = each.withColumn("most", F.expr(f"least(most, greatest(n_a - ({_emitted('n_a', percent)}) + k, n_b - ({_emitted('n_b', percent)}) + k))"))
     each = each.filter(F.expr(f"100 * most >= {percent} * (n_a + n_b - most)"))
     if best is None:
@@ -357,6 +384,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("rid"), F.col("v").alias("part")).union(edges.select("v", "v").distinct())
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (rid, part) after links (a, b) too."""
+    return components(parts.select(F.col("rid").alias("a"), F.col("part").alias("b")).union(links))
+
+
 class Bucketed:
     """A table in the shared folder, dealt into buckets by key: joins on the key leave its rows where they are. Gone after the `with`."""
 
@@ -383,7 +415,7 @@ def _tiles(marked: DataFrame, percent: int) -> DataFrame:
     """
     width = max(math.log(100 / percent), 0.01) * 1.000001
     band = F.floor(F.log("n") / width).cast("long")
-    return marked.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("h", (band + F.col("v")).alias("band"), "rid", "part", F.col("v").cast("long").alias("visits"))
+    return marked.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).select("h", (band + F.col("v")).alias("band"), "rid", "part", F.col("v").cast("long").alias("visits"), F.lit(1).cast("long").alias("weight"))
 
 
 def _marked_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -391,9 +423,15 @@ def _marked_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The members of tiles that hold sets of several components, with the number of the tile's blocks."""
-    mixed = rows.groupBy("h", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("visits").alias("own"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    return rows.join(mixed.filter("lo < hi and own = 0").select("h", "band", "blocks"), ["h", "band"])
+    """The members of tiles that hold sets of several components, with the number of the tile's blocks.
+
+    Of the tiles of a band that have the same members (by two independent 64-bit hashes and their number) one stays, with the
+    weight of all.
+    """
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "rid", "visits")).alias(f"s{k}") for k in range(2)]
+    mixed = rows.groupBy("h", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("visits").alias("own"), F.count("*").alias("c"), F.max("weight").alias("weight"), *same)
+    one = mixed.filter("lo < hi and own = 0").groupBy("band", "c", "s0", "s1").agg(F.min("h").alias("h"), F.sum("weight").alias("weight"))
+    return rows.drop("weight").join(one.select("h", "band", "weight", F.ceil(F.col("c") / BLOCK).alias("blocks")), ["h", "band"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -441,30 +479,37 @@ def _components(heads: DataFrame, base: DataFrame, text: str, shingle: int, perc
     sizes, tiles = shared.filter("meta").select("rid", F.col("n").cast("long").alias("n_shingles")), shared.filter("not meta").select("h", "rid", "n")
 
     least = F.ceil(F.ceil(F.col("n") * percent / 100) / 10)
-    likely = stored(tiles.groupBy("rid").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.min("h").alias("home")).filter(F.col("c") >= least).select("rid", "home", "n"), "likely")
-    # A bitmap and what goes with it take the room of some 64 shingles.
-    blocks = likely.groupBy("home").agg(F.ceil(F.sum(F.col("n") + 64) / BLOCK_SHINGLES).alias("blocks")).filter("blocks > 1")
-    homes = likely.select("rid", "home").join(blocks, "home", "left").select("rid", "home", F.pmod(F.xxhash64("rid"), F.coalesce("blocks", F.lit(1))).alias("block"))
-    placed = heads.join(homes.hint("shuffle_hash"), "rid").select("home", "block", "rid", ROW).mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, n int, data binary")
-    links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
+    homes = F.array(*(F.min(F.xxhash64(F.lit(k), "h")) for k in range(HOMES))).alias("homes")
+    likely = stored(tiles.groupBy("rid").agg(F.count("*").alias("c"), F.first("n").alias("n"), homes).filter(F.col("c") >= least).select("rid", "homes", "n"), "likely")
+    parts = likely.select("rid", F.col("rid").alias("part"))
+    for k in range(HOMES):
+        at = _marked_parts(likely.select("rid", "n", F.col("homes")[k].alias("home")), parts)
+        # A bitmap and what goes with it take the room of some 64 shingles.
+        blocks = at.groupBy("home").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.sum(F.col("n") + 64) / BLOCK_SHINGLES).alias("blocks")).filter("lo < hi")
+        at = at.join(blocks.select("home", "blocks"), "home").select("rid", "part", "home", F.pmod(F.xxhash64(F.lit(k), "rid"), "blocks").alias("block"))
+        placed = heads.join(at.hint("shuffle_hash"), "rid").select("home", "block", "rid", "part", ROW).mapInArrow(_set_rows(text, shingle, False), "home long, block long, rid long, part long, n int, data binary")
+        links = stored(placed.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(_exact_tile(percent), "a long, b long"), "links")
+        settled = links.isEmpty()
+        if settled:
+            break
+        parts = _joined(parts, links)
 
     with Bucketed(tiles.join(likely.select("rid"), "rid", "left_semi").repartition(int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid"), "rid") as tiles:
-        parts = components(links)
         members = stored(_mixed(_tiles(_marked_parts(tiles, parts), percent)), "members")
-    for most_each, best in ((NEAR, BEST), (None, None)):
-        if best is None:  # components have only grown, so tiles of one component need no second look
-            parts = components(links)
+    rounds = ((None, None),) if settled else ((NEAR, BEST), (None, None))
+    for k, (most_each, best) in enumerate(rounds):
+        if k:  # components have only grown, so tiles of one component need no second look
             members = stored(_mixed(_marked_parts(members.drop("part", "blocks"), parts)), "members")
         if members.isEmpty():
             return parts, sizes
         bitmaps = heads.join(members.select("rid").distinct().hint("shuffle_hash"), "rid").select("rid", ROW).mapInArrow(_set_rows(text, shingle, True), "rid long, n int, data binary")
         own = members.join(bitmaps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-        cut = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "visits", "n", "data")
+        cut = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "rid", "part", "own", "visits", "n", "data", "weight")
         keys = ("h", "band", "i", "j")
-        pairs = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely_pairs(percent, most_each), ", ".join(f"{c} long" for c in PAIR_COLUMNS))
+        pairs = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_likely_pairs(percent, most_each), ", ".join(f"{c} long" for c in (*PAIR_COLUMNS, "weight")))
         pairs = stored(_promising(pairs, percent, best), "pairs")
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
         sets = heads.join(ends.hint("shuffle_hash"), "rid").select("rid", ROW).mapInArrow(_set_rows(text, shingle, False), "rid long, n int, data binary")
         both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("rid").alias("b"), F.col("data").alias("y")), "b")
-        links = links.union(stored(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links"))
-    return components(links), sizes
+        parts = _joined(parts, stored(both.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"), "links"))
+    return parts, sizes

@@ -61,3 +61,51 @@ def test_components(spark, monkeypatch, flush):
             low, high = sorted((part[a], part[b]))
             part = {n: low if p == high else p for n, p in part.items()}
     assert out == part
+
+
+def test_wide_bitmaps_fold_to_narrow_ones():
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(1, 2**63, n, dtype=np.uint64) for n in (1, 40, 2000, 5000, 30000)]
+    widths = [jaccard_join._width(len(s)) for s in sets]
+    assert widths[:3] == [jaccard_join.WORDS64] * 3 and widths[3] > jaccard_join.WORDS64 and widths[4] == jaccard_join.WIDEST
+    assert (jaccard_join._folded([_bitmap(s, w).tobytes() for s, w in zip(sets, widths)], jaccard_join.WORDS64) == np.stack([_bitmap(s) for s in sets])).all()
+
+
+def test_long_sets_that_share_a_passage_are_no_pairs():
+    rng = np.random.default_rng(7)
+    passage = rng.integers(1, 2**63, 100, dtype=np.uint64)
+    sets = [np.concatenate([passage, rng.integers(1, 2**63, 5000, dtype=np.uint64)]) for _ in range(20)]
+    sets.append(np.concatenate([sets[0][:4800], rng.integers(1, 2**63, 300, dtype=np.uint64)]))
+    tile = _tile(sets, list(range(21)))
+    data = pa.array([_bitmap(s, jaccard_join._width(len(s))).tobytes() for s in sets], pa.binary())
+    tile = tile.set_column(tile.schema.get_field_index("data"), "data", data)
+    assert [(a, b) for out in _likely_pairs(75, None)(iter([tile])) for a, b in zip(*(out.column(c).to_pylist() for c in "ab"))] == [(0, 20)]
+
+
+def test_tiles_of_the_same_members_are_one(spark):
+    # Tiles 1 to 3 have the members 10 and 11, tile 4 has one more, tile 5 is of one component, tile 6 has visitors only.
+    members = [(h, r, 0) for h in (1, 2, 3, 4) for r in (10, 11)] + [(4, 12, 1), (5, 10, 0), (5, 10, 1), (6, 10, 1), (6, 11, 1)]
+    rows = spark.createDataFrame([(h, 0, r, r, v, 1) for h, r, v in members], "h long, band long, rid long, part long, visits long, weight long")
+    out = sorted((r["h"], r["rid"], r["weight"]) for r in jaccard_join._mixed(rows).collect())
+    assert out == [(1, 10, 3), (1, 11, 3), (4, 10, 1), (4, 11, 1), (4, 12, 1)]
+
+
+def test_a_group_of_near_copies_is_joined_before_its_pairs_are_made(spark, monkeypatch):
+    promising, made = jaccard_join._promising, []
+
+    def counted(pairs, percent, best):
+        pairs = jaccard_join.stored(pairs)
+        made.append(pairs.count())
+        return promising(pairs, percent, best)
+
+    monkeypatch.setattr(jaccard_join, "_promising", counted)
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(300):  # three words of each differ from the base
+        words = [f"w{x}" for x in range(200)]
+        for x in rng.choice(200, 3, replace=False):
+            words[x] = f"e{i}x{x}"
+        texts.append((i, " ".join(words)))
+    out = jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert {r["component_id"] for r in out.collect()} == {0}
+    assert sum(made) <= 300  # 28,730 when texts had one home
