@@ -271,6 +271,16 @@ def hot_join(rows: DataFrame, told: DataFrame, key: str | list[str], weight: str
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(rest.hint("shuffle_hash"), key))
 
 
+def heap_returned(spark: SparkSession) -> None:
+    """Each executor collects its garbage, so that the heap which grew in earlier jobs goes back to the system.
+
+    A JVM keeps the pages of its largest heap until a full collection, beside the Python workers of later jobs. Tasks are offered to
+    one executor after another, so as many tasks as executors reach each idle one once; one that is busy may be left out.
+    """
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # it lists the driver too
+    spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 _ABOVE = {"Project", "Filter", "SubqueryAlias", "View"}
 
 

@@ -303,3 +303,18 @@ def test_pipeline_on_odd_rows(spark, odd):  # noqa: F811
             if name == "n-gram Jaccard join":
                 assert out.count() == out.select("doc_id", "text").distinct().count()
             rows = out
+
+
+def test_pipeline_stages_begin_with_returned_heaps(spark):
+    """Every stage makes the executors (here the driver) collect once in full: else what the join grew stays beside the last stage's workers."""
+    jvm = spark._jvm
+
+    def full() -> int:
+        beans = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if any(k in b.getName() for k in ("Old", "MarkSweep")))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, SF)
+        assert full() > before, name
