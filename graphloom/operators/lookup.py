@@ -78,13 +78,29 @@ def structure(node_type: str = "", language: str = "", visibility: str = "", asy
     return [make() for on, make in wanted if on]
 
 
-def siblings(nodes: DataFrame, of: DataFrame, most: int = 10) -> DataFrame:
-    """(id, seq, name, type, start_line): other symbols in the file of each node of `of` (id, file), by kind and line."""
+def _first(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy(*by).orderBy("rank", "start_line", "seq"))
+    return rows.withColumn("r", r).filter(F.col("r") <= n)
+
+
+def _others(nodes: DataFrame) -> DataFrame:
     rank = F.when(F.col("type").isin("class", "interface"), 0).when(F.col("type") == "function", 1).when(F.col("type") == "method", 2).otherwise(3)
-    other = nodes.select(F.col("id").alias("other"), "file", "seq", "name", "type", "start_line", rank.alias("rank"))
-    pairs = of.select("id", "file").join(other, "file").filter("other <> id")
-    r = F.row_number().over(Window.partitionBy("id").orderBy("rank", "start_line", "seq"))
-    return pairs.withColumn("r", r).filter(F.col("r") <= most).select("id", "seq", "name", "type", "start_line", "r")
+    return nodes.filter("id is not null and file is not null").select(F.col("id").alias("other"), "file", "seq", "name", "type", "start_line", rank.alias("rank"))
+
+
+def _near(others: DataFrame, of: DataFrame, most: int) -> DataFrame:
+    pairs = of.select("id", "file").join(others, "file").filter("other <> id")
+    return _first(pairs, most, "id").select("id", "seq", "name", "type", "start_line", "r")
+
+
+def siblings(nodes: DataFrame, of: DataFrame, most: int = 10) -> DataFrame:
+    """(id, seq, name, type, start_line, r): the first `most` other symbols in the file of each node of `of` (id, file), by kind and line.
+
+    A node meets the head of its file only. At most `most` rows of an id count in any answer, and a node leaves out its own id alone, so the
+    first 2 * `most` of the rows left hold all answers, whatever the file's size.
+    """
+    heads = _first(_first(_others(nodes), most, "file", "other").drop("r"), 2 * most, "file").drop("r")
+    return _near(heads, of, most)
 
 
 def comments_by_parent(nodes: DataFrame, comments: DataFrame) -> DataFrame:
@@ -113,7 +129,7 @@ def explain_symbol(nodes: DataFrame, edges: DataFrame, commits: DataFrame, name:
     callers = first(named.join(by_id, "source"), "edge_id", "callers", "from_name")
     own = calls.join(F.broadcast(found.select(F.col("id").alias("source"), "id")), "source").select("id", "edge_id", callee(F.col("context")).alias("callee"))
     callees = first(own, "edge_id", "callees", "callee")
-    near = siblings(nodes, F.broadcast(found.select("id", "file"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("x")).select("id", F.transform("x", lambda v: v["name"]).alias("siblings"))
+    near = _near(_others(nodes), F.broadcast(found.select("id", "file")), 10).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("x")).select("id", F.transform("x", lambda v: v["name"]).alias("siblings"))
     log = commits.join(F.broadcast(found.select("id", "file")), "file").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", F.substring("revision", 1, 8).alias("revision")))).alias("x")).select("id", F.transform("x", lambda v: v["revision"]).alias("commits"))
     rows = comments_by_parent(found, nodes.filter("type = 'comment'"))
     for part in (callers, callees, near, log):

@@ -411,3 +411,34 @@ def test_viz_and_graph_pieces(spark, built):
     assert hit == {("LOAD", True), ("zzz", False)}
     assert {r.name for r in lookup.siblings(nodes, nodes.filter("name = 'Store.find'")).collect()} == {"Store", "Store.check"}
     assert extract.NOISE >= {"print", "sizeof", "NotSupportedException"} and len(extract.NOISE) == 149
+
+
+def _join_rows(df):
+    """The most rows that one join of df's plan gave, after it has run."""
+    df.collect()
+
+    def walk(p):
+        kind = p.nodeName()
+        inner = [p.executedPlan()] if kind == "AdaptiveSparkPlan" else [p.plan()] if kind.endswith("QueryStage") else [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in kind:
+            yield p.metrics().apply("numOutputRows").value()
+        for x in inner:
+            yield from walk(x)
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_siblings_of_a_long_file(spark):
+    """Ids may recur in a file; a node meets the head of its file, not all of it."""
+    rng = np.random.default_rng(5)
+    rows = [(k, f"n{k if k > 60 else k % 3}", "fg"[k % 50 == 0], f"name{k}", ["class", "function", "method", "comment"][int(rng.integers(4))] if k > 60 else "class", int(rng.integers(40))) for k in range(800)] + [(900, None, "f", "a", "class", 0), (901, "x", None, "b", "class", 0)]
+    nodes = spark.createDataFrame(rows, "seq long, id string, file string, name string, type string, start_line int")
+    kind = {"class": 0, "function": 1, "method": 2, "comment": 3}
+    of = [r for r in rows if r[0] < 3 or r[0] % 2]
+    want = set()
+    for i in {r[1] for r in of} - {None}:
+        near = sorted((kind[n[4]], n[5], n[0]) for f in of if f[1] == i for n in rows if n[2] is not None and n[2] == f[2] and n[1] not in (None, i))
+        want |= {(i, n[2], k) for k, n in enumerate(near[:10], 1)}
+    out = lookup.siblings(nodes, nodes.filter("seq < 3 or seq % 2 = 1"))
+    assert {(r.id, r.seq, r.r) for r in out.collect()} == want
+    assert _join_rows(out) <= 20 * len(of)
