@@ -16,17 +16,27 @@ from graphloom.plans.tables import python_ready
 ORDER = ("class", "interface", "function", "method", "variable", "endpoint", "comment")
 
 
+def _with_comments(code: DataFrame, comments: DataFrame) -> DataFrame:
+    """code with comments, the JSON array of the comments around each id's spans, in order of seq; null where there are none.
+
+    Ids of the same spans share one array, made once. So comments meet lines, not nodes, and a long file costs no product of both.
+    """
+    span = F.struct("file", F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    spans = code.filter("id is not null").groupBy("id").agg(F.array_sort(F.collect_list(span)).alias("spans")).withColumn("sid", F.sha2(F.to_json("spans"), 256))
+    each = spans.groupBy("sid").agg(F.any_value("spans").alias("spans")).select("sid", F.inline("spans"))
+    lines = comments.groupBy("file", F.col("end_line").alias("at")).agg(F.collect_list(F.struct("seq", F.col("summary").alias("comment"))).alias("pid"))
+    said = attached(each, lines).groupBy("sid").agg(F.array_sort(F.flatten(F.collect_list("pid"))).alias("c"))
+    said = said.select("sid", F.to_json(F.transform("c", lambda x: x["comment"])).alias("comments"))
+    return code.join(spans.select("id", "sid"), "id", "left").join(said, "sid", "left").drop("sid")
+
+
 def payloads(nodes: DataFrame, commits: DataFrame | None = None, prefix: str = "graphloom", depth: int = 5, indexed_at: Column | None = None, meta: DataFrame | None = None) -> DataFrame:
     """(key, payload): one JSON text for each function and method, with the comments around it and its file's newest commits.
 
     commits: file, revision, author, date, message, r (vcs.recent_commits); meta: id, meta (array of texts from elsewhere).
     """
     code = nodes.filter("type in ('function', 'method')")
-    spans = code.select("file", F.col("id").alias("sid"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
-    points = nodes.filter("type = 'comment'").select("file", F.col("seq").alias("pid"), F.col("end_line").alias("at"), F.col("summary").alias("comment"))
-    said = attached(spans, points.select("file", "pid", "at")).join(points.select("pid", "comment"), "pid")
-    said = said.groupBy(F.col("sid").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pid", "comment"))).alias("c")).select("id", F.transform("c", lambda x: x["comment"]).alias("comments"))
-    rows = code.join(said, "id", "left")
+    rows = _with_comments(code, nodes.filter("type = 'comment'"))
     if commits is None:
         rows = rows.withColumn("log", F.array().cast("array<struct<rev:string,author:string,date:string,message:string>>"))
     else:
@@ -37,12 +47,14 @@ def payloads(nodes: DataFrame, commits: DataFrame | None = None, prefix: str = "
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
     log = none("log", "array<struct<rev:string,author:string,date:string,message:string>>")
-    body = F.struct(
-        "id", "name", "type", "file", "start_line", "end_line", "language", text("parent_symbol").alias("parent"), "visibility", none("parameters", "array<string>").alias("parameters"), "return_type", "is_async", text("summary").alias("summary"),
-        none("comments", "array<string>").alias("comments"), log.alias("commits"), F.size(log).alias("churn_rate"), F.array_distinct(F.transform(log, lambda x: x["author"])).alias("blame_owners"),
+    start = F.struct("id", "name", "type", "file", "start_line", "end_line", "language", text("parent_symbol").alias("parent"), "visibility", none("parameters", "array<string>").alias("parameters"), "return_type", "is_async", text("summary").alias("summary"))
+    end = F.struct(
+        log.alias("commits"), F.size(log).alias("churn_rate"), F.array_distinct(F.transform(log, lambda x: x["author"])).alias("blame_owners"),
         (indexed_at if indexed_at is not None else F.current_timestamp()).cast("string").alias("indexed_at"), none("meta", "array<string>").alias("meta"),
     )
-    return rows.select(F.concat_ws(":", F.lit(prefix), F.lit("func"), "id").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+    start, end = (F.to_json(x, {"ignoreNullFields": "false"}) for x in (start, end))
+    payload = F.concat(F.left(start, F.length(start) - 1), F.lit(',"comments":'), F.coalesce("comments", F.lit("[]")), F.lit(","), F.substr(end, F.lit(2)))
+    return rows.select(F.concat_ws(":", F.lit(prefix), F.lit("func"), "id").alias("key"), payload.alias("payload"))
 
 
 def write_pairs(pairs: DataFrame, connect: Callable[[], Callable[[list[tuple[str, str]]], list[bool]]], size: int = 200) -> DataFrame:

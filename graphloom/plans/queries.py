@@ -540,8 +540,8 @@ c AS (SELECT f.id, string_agg(c.summary, '|' ORDER BY c.seq) AS said FROM n f JO
 SELECT 'ns:func:' || id AS key, name, file, lo AS start_line, coalesce(said, '') AS comments FROM n LEFT JOIN c USING (id) WHERE type IN ('function', 'method')""")
 def kv_export(spark, d):
     nodes = _parts(spark, d).withColumn("end_line", F.col("start_line") + 9).withColumn("visibility", F.lit(None).cast("string")).withColumn("is_async", F.lit(False)).withColumn("parameters", F.array().cast("array<string>")).withColumn("return_type", F.lit(None).cast("string"))
-    back = F.from_json("payload", "name string, file string, start_line int, comments array<string>")
-    return export.payloads(nodes, None, "ns").select("key", back["name"].alias("name"), back["file"].alias("file"), back["start_line"].alias("start_line"), F.array_join(back["comments"], "|").alias("comments"))
+    back = export.payloads(nodes, None, "ns").select("key", F.from_json("payload", "name string, file string, start_line int, comments array<string>").alias("back"))  # a column, so that it is read once
+    return back.select("key", "back.name", "back.file", "back.start_line", F.array_join("back.comments", "|").alias("comments"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 41), chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 41 THEN chr(10) || '... ' || (len(string_split(text, chr(10))) - 41) || ' more lines' ELSE '' END AS snippet FROM documents")

@@ -442,3 +442,21 @@ def test_siblings_of_a_long_file(spark):
     out = lookup.siblings(nodes, nodes.filter("seq < 3 or seq % 2 = 1"))
     assert {(r.id, r.seq, r.r) for r in out.collect()} == want
     assert _join_rows(out) <= 20 * len(of)
+
+
+def test_payloads_of_a_long_file(spark):
+    """Comments meet the spans of a file once each, and an id that recurs has the comments around all its rows, as in SQL."""
+    code = [(k, f"n{k % 297}" if k != 5 else None, "fg"[k % 7 == 0], "function", k * 3 % 11 if k != 6 else None) for k in range(300)]
+    said = [(1000 + k, f"c{k}", "fg"[k % 5 == 0], "comment", k * 5 % 17) for k in range(200)]
+    rows = spark.createDataFrame(code + said, "seq long, id string, file string, type string, start_line int")
+    empty = {"visibility": "string", "parameters": "array<string>", "return_type": "string", "language": "string", "parent_symbol": "string"}
+    nodes = rows.withColumns({k: F.lit(None).cast(v) for k, v in empty.items()} | {"name": F.col("id"), "is_async": F.lit(False), "end_line": F.col("start_line") + 2, "summary": F.when(F.col("seq") != 1003, F.concat(F.lit('a "\\ '), "seq"))})
+    text = lambda seq: None if seq == 1003 else f'a "\\ {seq}'
+    want = []
+    for _, i, _, _, lo in code:
+        near = sorted(c[0] for f in code if i is not None and f[1] == i and f[4] is not None for c in said if c[2] == f[2] and f[4] - 5 <= c[4] + 2 <= f[4] + 2)
+        want.append((i, lo, [text(seq) for seq in near]))
+    pairs = export.payloads(nodes, None, "ns", indexed_at=F.lit("2024-01-01"))
+    found = [json.loads(r.payload) for r in pairs.collect()]
+    assert sorted(((p["id"], p["start_line"], p["comments"]) for p in found), key=repr) == sorted(want, key=repr)
+    assert _join_rows(pairs) <= 2 * len(code)
